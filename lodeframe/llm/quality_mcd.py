@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import let, materialise, words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 #: The part of a group's rows that a covariance is taken from, and concentration steps.
 SUPPORT, STEPS = 0.75, 3
@@ -31,23 +31,39 @@ def chi_square_quantile(p: int, tail: float) -> float:
     return p * (1 - 2 / (9 * p) + z * math.sqrt(2 / (9 * p))) ** 3
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+#: Up to so many different repeated windows are looked up in a list; beyond it windows are sorted with their positions.
+LISTED = 48
+
+
+def _covered(positions: Column) -> Column:
+    return F.size(F.array_distinct(F.flatten(F.transform(positions, lambda i: F.array(i, i + 1, i + 2)))))
 
 
 def _repeated(w: Column) -> Column:
     """Words inside three-word windows that are found twice or more."""
 
-    def covered(h: Column) -> Column:
-        def positions(s: Column) -> Column:
-            twice = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
-            return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-
+    def by_sorting(h: Column) -> Column:
         ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(ordered, positions))
+
+        def twice(s: Column) -> Column:
+            found = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
+            return _covered(F.transform(found, lambda x: x["i"]))
+
+        return let(ordered, twice)
+
+    def by_list(h: Column, d: Column) -> Column:
+        at = F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i).otherwise(F.lit(-1)))
+        return _covered(F.filter(at, lambda i: i >= 0))
+
+    def counted(h: Column) -> Column:
+        def chosen(d: Column) -> Column:
+            return F.when(F.size(d) == 0, F.lit(0)).when(F.size(d) <= LISTED, by_list(h, d)).otherwise(by_sorting(h))
+
+        again = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+        return let(again, chosen)
 
     windows = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(windows, covered))
+    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(windows, counted))
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,18 +72,12 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     n_upper: code points whose lower-case form differs; n_marks: characters of [!?|]. Null and empty text: all 0.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(value, "\n"), lambda x: F.length(_without(x, " \t\n\x0b\x0c\r")) > 0)
-    return docs.withColumns(
-        {
-            "__w": let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), _repeated(w).alias("r"))),
-            "word_chars": F.length(_without(value, " \t\n\x0b\x0c\r")).cast("long"),
-            "n_symbols": (F.length(value) - F.length(_without(value, SYMBOLS))).cast("long"),
-            "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_upper": (F.length(value) - F.length(F.regexp_replace(value, r"\p{Lu}", ""))).cast("long"),
-            "n_marks": (F.length(value) - F.length(_without(value, "!?|"))).cast("long"),
-            "__lines": F.size(lines),
-        }
-    ).withColumns({"n_words": F.col("__w.n").cast("long"), "n_repeat_words": F.col("__w.r").cast("long")}).drop("__w")
+    lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    by_words = let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeated(w).alias("r")))
+    by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+    out = docs.withColumns({"__w": by_words, "__l": by_lines, "n_symbols": F.regexp_count(value, F.lit(SYMBOLS)), "n_upper": F.regexp_count(value, F.lit(r"\p{Lu}")), "n_marks": F.regexp_count(value, F.lit("[!?|]"))})
+    named = {"n_words": "__w.n", "word_chars": "__w.c", "n_repeat_words": "__w.r", "n_dup_lines": "__l.d", "n_symbols": "n_symbols", "n_upper": "n_upper", "n_marks": "n_marks", "__lines": "__l.n"}
+    return out.withColumns({k: F.col(v).cast("long") for k, v in named.items()}).drop("__w", "__l")
 
 
 def _transformed(df: DataFrame) -> DataFrame:
