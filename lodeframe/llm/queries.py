@@ -6,9 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import compare_neighbours
 from .line_dedup import drop_site_boilerplate, host_of, page_lines
+from .ngram_join import jaccard_components
+from .packing import pack
+from .quality_ftrl import score_quality
 from .quality_mcd import quality_rules
+from .secrets import find_secrets
 from .sharding import shard_by_bytes
+from .spm import encode_pieces
+from .toxicity import score_toxicity
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents"), window=1024, with_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +28,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumns({"host": host_of(F.col("url")), "text": page_lines(F.col("html"))})
     out = drop_site_boilerplate(pages.select("page_id", "host", "text"), host="host")
@@ -27,7 +63,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
+    return {
+        "op1_packing": op1_packing,
+        "op2_sharding": op2_sharding,
+        "op3_toxicity": op3_toxicity,
+        "op4_ngram_join": op4_ngram_join,
+        "op5_secrets": op5_secrets,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_fingerprints": op8_fingerprints,
+        "op9_pieces": op9_pieces,
+        "op10_line_dedup": op10_line_dedup,
+    }
 
 
 def llm_oracle_sql() -> dict:
