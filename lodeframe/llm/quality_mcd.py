@@ -158,6 +158,31 @@ def mcd_estimates(stats: DataFrame) -> DataFrame:
     return estimate
 
 
+def _grouped(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    null = F.lit("\0null")
+    return docs.withColumns({"g_lang": F.coalesce(F.col(lang).cast("string"), null), "g_source": F.coalesce(F.col(source).cast("string"), null)})
+
+
+def _judged(stats: DataFrame, tail: float) -> DataFrame:
+    """stats, a table of _transformed rows with base_failed, with d2 and kept."""
+    estimate = mcd_estimates(stats.filter(~F.col("base_failed")).select("g_lang", "g_source", *STATS))
+    limit = chi_square_quantile(len(STATS), tail)
+    return _held_against(stats, estimate).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", tail: float = TAIL) -> DataFrame:
+    """docs without the rows that quality_rules() rejects, with all their columns. The judged rows are written once with their texts."""
+    out = list(docs.columns)
+    rows = _transformed(base_statistics(_grouped(docs.withColumnsRenamed({c: f"c_{c}" for c in out}), f"c_{text}", f"c_{lang}", f"c_{source}"), f"c_{text}"))
+    rows = materialise(rows.withColumn("base_failed", _failed()), "quality-rows")
+    kept = _judged(rows, tail).filter("kept")
+    return kept.select(*[F.col(f"c_{c}").alias(c) for c in out])
+
+
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", doc_id: str = "doc_id", tail: float = TAIL) -> DataFrame:
     """One row a document: doc_id, the base counts, base_failed, distance (squared Mahalanobis) and kept.
 
@@ -166,18 +191,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     quantile; estimates come from documents that pass the base rules. Null or empty text fails the base rules. Null languages and sources are groups of
     their own. Repeated rows are judged alike. An empty table gives no rows. Other columns are ignored.
     """
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(lang).cast("string"), F.lit("\0null")).alias("g_lang"),
-        F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("g_source"),
-        F.col(text).alias("text"),
-    )
-    stats = _transformed(base_statistics(rows).drop("text"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = materialise(stats.withColumn("base_failed", failed).drop("__lines"), "quality-stats")
-    estimate = mcd_estimates(stats.filter(~F.col("base_failed")))
-    judged = _held_against(stats, estimate)
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi_square_quantile(len(STATS), tail))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    stats = _transformed(base_statistics(_grouped(rows, "text", "lang", "source"))).drop("text", "lang", "source", "__lines")
+    judged = _judged(materialise(stats.withColumn("base_failed", _failed()), "quality-stats"), tail)
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance")
     )

@@ -1,11 +1,10 @@
 """Secret scans: base patterns, and novelty of candidates by dictionary-primed zstandard."""
 
-from __future__ import annotations
-
 import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -142,3 +141,15 @@ def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, max_novelty double" + (", redacted string" if redacted else "")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of `text` replaced by mark; all rows and other columns stay. Null texts stay null."""
+
+    @F.pandas_udf("string")
+    def cleaned(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        novelty = Novelty()
+        for values in parts:
+            yield pd.Series([value if value is None or not (spans := scan(value, novelty)[1]) else redact(value, spans, mark) for value in values], dtype=object)
+
+    return docs.withColumn(text, cleaned(F.col(text)))
