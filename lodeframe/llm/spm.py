@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import Memory
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -119,7 +121,7 @@ class PieceCodec:
         self.backend = self.model.tokenizer()
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cut = self.model.cuttable()
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Memory(REMEMBERED)
         self.odd: set[str] = set()
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else (b" \xe2\x81\x87 " if kind == UNKNOWN else b"" if kind == CONTROL else p.replace(MARK, " ").encode()) for p, _, kind in self.model.pieces]
 
@@ -131,11 +133,8 @@ class PieceCodec:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Little-endian unsigned 32-bit ids, and whether both libraries agree on the text. Where they don't, the ids are SentencePiece's."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-            self.odd.clear()
         out: list[tuple[bytes, bool]] = [(b"", True)] * len(texts)
-        again: list[tuple[int, list[str]]] = []
+        again: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         whole: list[int] = []
         get = self.chunks.get
         for k, text in enumerate(texts):
@@ -145,16 +144,21 @@ class PieceCodec:
             parts = text.split(" ")
             found = list(map(get, parts))
             if None in found or self.odd:
-                again.append((k, parts))
+                again.append((k, parts, found, [i for i, x in enumerate(found) if x is None]))
             else:
                 out[k] = b"".join(found), True
         if again:
-            new = list({x for _, parts in again for x in parts}.difference(self.chunks))
+            new = list({parts[i] for _, parts, _, holes in again for i in holes})
             ids, same = self._both(new) if new else ([], [])
-            self.chunks.update(zip(new, ids, strict=True))
-            self.odd.update(x for x, ok in zip(new, same, strict=True) if not ok)
-            for k, parts in again:
-                out[k] = b"".join(map(self.chunks.__getitem__, parts)), self.odd.isdisjoint(parts)
+            learned = dict(zip(new, ids, strict=True))
+            self.chunks.add(learned)
+            odd = {x for x, ok in zip(new, same, strict=True) if not ok}
+            # a chunk whose parity failed stays known, so that texts with it are told apart
+            self.odd |= odd
+            for k, parts, found, holes in again:
+                for i in holes:
+                    found[i] = learned[parts[i]]
+                out[k] = b"".join(found), not self.odd or self.odd.isdisjoint(parts)
         if whole:
             for k, *both in zip(whole, *self._both([texts[k] for k in whole]), strict=True):
                 out[k] = tuple(both)

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
+import regex
+
 #: White space, ASCII and other. Where it touches a blank, or a blank stands at an end, a text can't be cut at its blanks.
 NEAR = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 FAR = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Different chunks that a worker remembers.
-REMEMBERED = 500_000
+#: Different chunks, and pieces, that a worker remembers.
+REMEMBERED = 400_000
+#: The pattern (a fixed value) by which the tokenizer cuts text into pieces, and the chunks that are cut by it here.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = re.compile("[\n -~\u00c0-\u024f]+")
 
 
 def _touching(spaces: str) -> list[str]:
@@ -31,11 +37,30 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Memory(dict):
+    """Remembers up to `limit` entries. When it is full it stays as it is, since what comes often came early; after four times as many new
+    entries it starts afresh, in case the texts have changed."""
+
+    def __init__(self, limit: int = REMEMBERED):
+        super().__init__()
+        self.limit, self.passed = limit, 0
+
+    def add(self, new: dict) -> None:
+        if len(self) < self.limit:
+            self.update(new)
+        else:
+            self.passed += len(new)
+            if self.passed > 4 * self.limit:
+                self.clear()
+                self.passed = 0
+
+
 class ChunkEncoder:
-    """Ids of texts by a byte-level BPE tokenizer, remembering the ids of chunks between blanks.
+    """Ids of texts by a byte-level BPE tokenizer, remembering the ids of chunks between blanks and of their pieces.
 
     The tokenizer's pattern lets no token reach over a blank but for a leading one, so a text whose blanks stand
-    alone is the concatenation of its chunks, each but the first with its leading blank. Other texts are encoded whole.
+    alone is the concatenation of its chunks, each but the first with its leading blank. A new chunk of Latin letters is cut by the same
+    pattern into pieces, which the tokenizer merges one by one. Other chunks and texts are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = REMEMBERED):
@@ -44,18 +69,29 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.pieces = Memory(limit), Memory(limit)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks (a first chunk of a text is marked by a blank, which no other has)."""
+        texts = [x[1:] if x[:1] == " " else f" {x}" for x in chunks]
+        cut = [PIECES.findall(x) if PLAIN.fullmatch(x) else [x] for x in texts]
+        wanted = {p for parts in cut for p in parts}
+        new = list(wanted.difference(self.pieces))
+        learned = dict(zip(new, self._encode(new), strict=True))
+        known = learned | {p: self.pieces[p] for p in wanted if p in self.pieces}
+        self.pieces.add(learned)
+        get = known.__getitem__
+        out = dict(zip(chunks, [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in cut], strict=True))
+        self.chunks.add(out)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.chunks) > self.limit:
-            self.chunks.clear()
         out: list[bytes | None] = []
-        again: list[tuple[int, list[str]]] = []
+        again: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         whole: list[int] = []
         get = self.chunks.get
         for k, text in enumerate(texts):
@@ -63,19 +99,19 @@ class ChunkEncoder:
             if irregular(text):
                 whole.append(k)
                 continue
-            # the head has no blank before it: it is remembered under a name that no chunk has
             parts = text.split(" ")
             parts[0] = f" {parts[0]}"
             found = list(map(get, parts))
             if None in found:
-                again.append((k, parts))
+                again.append((k, parts, found, [i for i, x in enumerate(found) if x is None]))
             else:
                 out[k] = b"".join(found)
         if again:
-            new = list({x for _, parts in again for x in parts}.difference(self.chunks))
-            self.chunks.update(zip(new, self._encode([x[1:] if x[:1] == " " else f" {x}" for x in new]), strict=True))
-            for k, parts in again:
-                out[k] = b"".join(map(self.chunks.__getitem__, parts))
+            learned = self._learn(list({parts[i] for _, parts, _, holes in again for i in holes}))
+            for k, parts, found, holes in again:
+                for i in holes:
+                    found[i] = learned[parts[i]]
+                out[k] = b"".join(found)
         if whole:
             for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
                 out[k] = ids
