@@ -191,11 +191,12 @@ def _components(edges: DataFrame) -> DataFrame:
         roots = materialise(roots.join(names, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "component-roots")
 
 
-def _linked(pairs: DataFrame, first: DataFrame, fragments: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, first: DataFrame, fragments_of) -> DataFrame:
     """The pairs (a, b, na, nb) with a similarity of 3/4 or more.
 
     The order's first fragment of a pair is the two prefixes: where these share c n-grams, the sets share at most c plus what
-    the prefixes leave. Pairs that can still link have their overlaps counted in each further fragment and summed.
+    the prefixes leave. Pairs that can still link have their overlaps counted in each further fragment and summed;
+    fragments_of(keys) gives the fragments of the sets in such pairs, and of no others.
     """
     need = F.ceil(F.lit(3) * (F.col("na") + F.col("nb")) / F.lit(7))
     left = F.greatest(F.col("na") - F.floor(F.col("na") / 4) - 1, F.col("nb") - F.floor(F.col("nb") / 4) - 1)
@@ -204,6 +205,7 @@ def _linked(pairs: DataFrame, first: DataFrame, fragments: DataFrame) -> DataFra
     shared = F.size(F.array_intersect("ga", "gb"))
     hopeful = pairs.join(a, "a").join(b, "b").filter(shared + left >= need).select("a", "b", "na", "nb")
     hopeful = materialise(hopeful, "join-hopeful")
+    fragments = fragments_of(hopeful.select(F.col("a").alias("key")).union(hopeful.select("b")).distinct())
     fa = fragments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
     fb = fragments.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
     counts = hopeful.join(fa, "a").join(fb, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("n"))
@@ -247,15 +249,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     involved = shared.groupBy("key").agg(F.count("*").alias("c"), F.collect_set("gram").alias("grams")).join(classes, "key")
     involved = materialise(involved.select("key", "id", "n", (F.col("c") * 1_000_000 / (F.floor(F.col("n") / 4) + 1)).cast("long").alias("clean"), "grams"), "join-involved")
     first = involved.select("key", "grams")
-    size = involved.count()
-    bits = min(FILTER_BITS, 1 << max(10, (16 * size).bit_length()))
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = involved.filter("id is not null").select((slot / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitmap = np.zeros(bits // 64, np.uint64)
-    bitmap[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
-    wanted = spark.sparkContext.broadcast(bitmap)
-    picked = rows.select("text", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))).alias("slot"))
-    fragments = materialise(picked.mapInArrow(_fragments(wanted), "key long, fragment int, grams array<long>"), "join-fragments")
+
+    def fragments_of(keys: DataFrame) -> DataFrame:
+        """One pass over the documents, in which a bit filter of a fixed size picks those whose n-grams are needed whole."""
+        ids = materialise(involved.select("key", "id").join(keys, "key", "left_semi"), "join-wanted")
+        bits = min(FILTER_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+        slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+        words = ids.filter("id is not null").select((slot / 64).cast("long").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        bitmap = np.zeros(bits // 64, np.uint64)
+        bitmap[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
+        wanted = spark.sparkContext.broadcast(bitmap)
+        picked = rows.select("text", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))).alias("slot"))
+        return materialise(picked.mapInArrow(_fragments(wanted), "key long, fragment int, grams array<long>"), "join-fragments")
 
     groups = materialise(shared.join(involved.select("key", "n", "clean"), "key"), "join-groups")
     labels = involved.select("key", F.col("key").alias("component"))
@@ -283,7 +289,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         pairs = pairs.filter("4 * least(n, nx) >= 3 * greatest(n, nx)")
         lower = F.col("key") < F.col("x")
         pairs = pairs.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b"), F.when(lower, F.col("n")).otherwise(F.col("nx")).alias("na"), F.when(lower, F.col("nx")).otherwise(F.col("n")).alias("nb")).distinct()
-        links = materialise(_linked(pairs, first, fragments), "join-links")
+        links = materialise(_linked(pairs, first, fragments_of), "join-links")
         if not links.isEmpty():
             u = labels.select(F.col("key").alias("u"), F.col("component").alias("cu"))
             v = labels.select(F.col("key").alias("v"), F.col("component").alias("cv"))
