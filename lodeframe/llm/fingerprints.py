@@ -16,6 +16,8 @@ from .common import input_partitions, mix
 SKETCH, LEVELS, ROUNDS = 64, 5, 3
 #: Levels from this one on are sketched where a text has phrases there.
 FROM_LEVEL = 2
+#: The place of null ids, after all others.
+LAST = -(2**63) + 1
 #: Code points that are parsed at a time; whole texts are never cut.
 BATCH_CHARS = 2_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -167,7 +169,7 @@ def compare_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     its last. Null texts are empty. An empty table gives no rows; a single document follows itself.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k"))
+    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("k"))
     parts = max(input_partitions(spark), 2)
     # ranges end at ids of the table; how many there are doesn't depend on the rows
     bounds = slim.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] + [1.0], 10_000).alias("q")).first()["q"] or []
@@ -184,7 +186,7 @@ def compare_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         return pd.Series([[int(r), int((r - 1) % len(bounds))] if h else [int(r)] for r, h in zip(own, head, strict=True)])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).select("doc_id", "text", "k", F.posexplode(ranges("k")).alias("guest", "range"))
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LAST))).select("doc_id", "text", "k", F.posexplode(ranges("k")).alias("guest", "range"))
     count = len(bounds) or 1
     # one task a range: rows of a range stand together, its own first
     dealt = rows.repartition(count, "range").sortWithinPartitions("range", F.col("guest"), F.col("k").desc(), "text")

@@ -310,10 +310,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the documents whose component has a smaller id: one document of each group stays, and all texts without words.
 
-    Of rows that share an id (and link, if they have words) one stays. Rows without an id stay if their group has none with one.
+    Of rows that share an id (and have words) one stays. Rows without an id can't be told apart by it and stay.
     """
     found = materialise(jaccard_components(docs, text, doc_id), "near-duplicates")
-    gone = found.filter("component_id is not null and (doc_id is null or doc_id <> component_id) and n_shingles > 0").select("doc_id").distinct()
-    kept = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = found.filter("doc_id <> component_id and n_shingles > 0").select("doc_id").distinct()
+    kept = docs.join(gone, docs[doc_id].cast("long") == gone["doc_id"], "left_anti")
     repeated = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id])
+    if repeated.isEmpty():
+        return kept
+    twice = kept[doc_id].cast("long") == repeated["doc_id"]
+    return kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates([doc_id]))
