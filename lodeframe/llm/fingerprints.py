@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,10 +162,33 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", doc_id: str = "do
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _deal(bounds: np.ndarray):
+    """Rows with the range of ids that they belong to, and a guest's copy of each range's first for the range before. Texts are packed by zstandard, to
+    about half of what the shuffle's own codec makes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6, write_checksum=False)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                rows = batch.slice(begin, 1024)
+                k = np.array([LAST if x is None else x for x in rows["doc_id"].to_pylist()], np.int64)
+                # range r holds ids from bounds[r] down to, but without, bounds[r + 1]
+                own = np.maximum(np.searchsorted(-bounds, -k, "right") - 1, 0)
+                heads = np.flatnonzero(np.isin(k, bounds))
+                at = np.append(np.arange(len(k)), heads)
+                where = np.append(own, (own[heads] - 1) % len(bounds)).astype(np.int32)
+                guest = np.append(np.zeros(len(k), np.int32), np.ones(len(heads), np.int32))
+                packed = pa.array([pack.compress(x.encode("utf-8", "surrogatepass")) for x in rows["text"].to_pylist()], pa.binary())
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([rows["doc_id"].take(take), pa.array(k[at]), pa.array(where), pa.array(guest), packed.take(take)], names=["doc_id", "k", "range", "guest", "packed"])
+
+    return run
+
+
 def compare_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of each document, of its text edited with the next one's, and their likeness.
 
-    The next document is the one with the next smaller id (equal ids: by text; null ids are last); after the last comes the first. One
+    The next document is the one with the next smaller id (equal ids: by packed text; null ids are last); after the last comes the first. One
     shuffle deals the texts out by ranges of ids; the first document of each range also goes to the range before, so every task has the next document of
     its last. Null texts are empty. An empty table gives no rows; a single document follows itself.
     """
@@ -175,24 +199,15 @@ def compare_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     bounds = slim.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] + [1.0], 10_000).alias("q")).first()["q"] or []
     bounds = np.array(sorted({int(x) for x in bounds}, reverse=True), np.int64)
 
-    @F.pandas_udf("array<int>")
-    def ranges(keys):
-        # range r holds ids from bounds[r] down to, but without, bounds[r + 1]
-        k = keys.to_numpy()
-        own = np.maximum(np.searchsorted(-bounds, -k, "right") - 1, 0)
-        head = np.isin(k, bounds)
-        import pandas as pd
-
-        return pd.Series([[int(r), int((r - 1) % len(bounds))] if h else [int(r)] for r, h in zip(own, head, strict=True)])
-
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(LAST))).select("doc_id", "text", "k", F.posexplode(ranges("k")).alias("guest", "range"))
     count = len(bounds) or 1
     # one task a range: rows of a range stand together, its own first
-    dealt = rows.repartition(count, "range").sortWithinPartitions("range", F.col("guest"), F.col("k").desc(), "text")
+    dealt = rows.mapInArrow(_deal(bounds), "doc_id long, k long, range int, guest int, packed binary")
+    dealt = dealt.repartition(count, "range").sortWithinPartitions("range", "guest", F.col("k").desc(), "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
+        unpack = zstandard.ZstdDecompressor()
         pending: list[tuple[int | None, str, str]] = []
         done = None
 
@@ -222,10 +237,11 @@ def compare_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
         chars = 0
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("range", "guest", "doc_id", "text")]
-            for r, guest, key, value in zip(*cols, strict=True):
+            cols = [batch[c].to_pylist() for c in ("range", "guest", "doc_id", "packed")]
+            for r, guest, key, packed in zip(*cols, strict=True):
                 if done == r:  # guests after the first: repeated ids
                     continue
+                value = unpack.decompress(packed).decode("utf-8", "surrogatepass")
                 if held is not None:
                     if held[0] == r:
                         pending.append((held[1], held[2], value))
