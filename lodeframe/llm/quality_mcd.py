@@ -16,8 +16,8 @@ MIN_WORDS = 50
 SUPPORT, STEPS = 0.75, 3
 #: Rows that a group needs for an estimate of its own; smaller ones take their language's, then everyone's.
 MIN_ROWS = 200
-#: Smallest standard deviation of each transformed statistic: a smaller spread is no ground for rejection.
-FLOORS = {"x_len": 1.2, "x_word": 0.8, "x_symbol": 0.08, "x_dup": 0.06, "x_repeat": 0.06, "x_upper": 0.08, "x_mark": 0.08}
+#: Smallest standard deviation of each transformed statistic: a smaller spread is no ground for rejection. A header that comes again as a footer isn't either.
+FLOORS = {"x_len": 1.2, "x_word": 0.8, "x_symbol": 0.08, "x_dup": 0.3, "x_repeat": 0.12, "x_upper": 0.08, "x_mark": 0.08}
 #: A document is rejected beyond this quantile of the chi-square distribution.
 TAIL = 1e-6
 STATS = list(FLOORS)
