@@ -30,7 +30,7 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def drop_site_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", max_ratio: float = 0.3, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> DataFrame:
+def drop_site_boilerplate(docs: DataFrame, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = MIN_PAGES, min_copies: int = MIN_COPIES) -> DataFrame:
     """Drops the lines that more than max_ratio of a host's pages contain.
 
     Lines are split at newlines and compared without outer blanks; a page counts once for each line it has. Returns docs with

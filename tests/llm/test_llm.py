@@ -213,7 +213,7 @@ def test_outliers_go(spark):
 def test_line_dedup(docs, empty, spark):
     lines = [(f"h{k % 2}", f"head line\nbody {k}\n\n{'rare' if k in (1, 3) else 'own ' + str(k)}\n  head line ") for k in range(12)] + [("h9", "head line\nx"), (None, None), (None, "head line")]
     df = spark.createDataFrame([(k, h, t, "clash") for k, (h, t) in enumerate(lines)], "page bigint, host string, text string, key string")
-    got = {r["page"]: r for r in rows(line_dedup.drop_site_boilerplate(df, host="host"))}
+    got = {r["page"]: r for r in rows(line_dedup.drop_site_boilerplate(df, host="host", max_ratio=0.3))}
     for k, (h, t) in enumerate(lines):
         pages = [x for y, x in lines if y == h]
         keep = []
