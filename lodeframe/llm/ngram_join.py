@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MASK, WordHashes, materialise, mix
@@ -21,7 +21,7 @@ FRAGMENTS = 4
 #: Tasks that a frequent n-gram's rows are spread over.
 SPREAD = 64
 #: Comparisons are made with one leader of each group until comparing the rest costs at most so many pairs a row, or for so many rounds.
-PAIRS_A_ROW, STAR_ROUNDS = 3, 5
+PAIRS_A_ROW, STAR_ROUNDS = 3, 3
 #: Bits of the filter that picks the documents whose n-grams are needed whole, at most.
 FILTER_BITS = 1 << 27
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -191,6 +191,28 @@ def _components(edges: DataFrame) -> DataFrame:
         roots = materialise(roots.join(names, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "component-roots")
 
 
+def _needed(na: Column, nb: Column) -> Column:
+    """Shared n-grams from which two sets link."""
+    return F.ceil(F.lit(3) * (na + nb) / F.lit(7))
+
+
+def _wanting(na: Column, nb: Column) -> Column:
+    """What of these the prefixes have to share at least, if all that they leave is shared."""
+    return _needed(na, nb) - F.greatest(na - F.floor(na / 4) - 1, nb - F.floor(nb / 4) - 1)
+
+
+def _viable(rows: DataFrame) -> DataFrame:
+    """Of rows (gram, key, n) those that can be part of a link: with the sizes that its group has, a set must share enough of its prefix with any others at all.
+
+    What is wanting is least for the smallest and for the largest partner; two are allowed for rounding. A link's own rows always stay.
+    """
+    count = rows.groupBy("key").agg(F.count("*").alias("c"))
+    size = rows.groupBy("gram").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k")).filter("k > 1")
+    n = F.col("n")
+    least = F.least(_wanting(n, F.greatest("lo", F.ceil(n * 3 / 4))), _wanting(n, F.least("hi", F.floor(n * 4 / 3))))
+    return rows.join(count, "key").join(size, "gram").filter(F.col("c") + 2 >= least).select("gram", "key", "n")
+
+
 def _linked(pairs: DataFrame, first: DataFrame, fragments_of) -> DataFrame:
     """The pairs (a, b, na, nb) with a similarity of 3/4 or more.
 
@@ -198,12 +220,11 @@ def _linked(pairs: DataFrame, first: DataFrame, fragments_of) -> DataFrame:
     the prefixes leave. Pairs that can still link have their overlaps counted in each further fragment and summed;
     fragments_of(keys) gives the fragments of the sets in such pairs, and of no others.
     """
-    need = F.ceil(F.lit(3) * (F.col("na") + F.col("nb")) / F.lit(7))
-    left = F.greatest(F.col("na") - F.floor(F.col("na") / 4) - 1, F.col("nb") - F.floor(F.col("nb") / 4) - 1)
+    need = _needed(F.col("na"), F.col("nb"))
     a = first.select(F.col("key").alias("a"), F.col("grams").alias("ga"))
     b = first.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
-    hopeful = pairs.join(a, "a").join(b, "b").filter(shared + left >= need).select("a", "b", "na", "nb")
+    hopeful = pairs.join(a, "a").join(b, "b").filter(shared >= _wanting(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
     hopeful = materialise(hopeful, "join-hopeful")
     fragments = fragments_of(hopeful.select(F.col("a").alias("key")).union(hopeful.select("b")).distinct())
     fa = fragments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
@@ -245,9 +266,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     shared = materialise(dealt.mapInArrow(_shared, "gram long, key long"), "join-shared")
 
     classes = members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
+    groups = materialise(_viable(_viable(shared.join(classes.select("key", "n"), "key"))), "join-groups")
     # the cleanest set has the largest part of its prefix in common with others
-    involved = shared.groupBy("key").agg(F.count("*").alias("c"), F.collect_set("gram").alias("grams")).join(classes, "key")
-    involved = materialise(involved.select("key", "id", "n", (F.col("c") * 1_000_000 / (F.floor(F.col("n") / 4) + 1)).cast("long").alias("clean"), "grams"), "join-involved")
+    clean = (F.col("c") * 1_000_000 / (F.floor(F.col("n") / 4) + 1)).cast("long")
+    involved = groups.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.collect_set("gram").alias("grams")).join(classes.select("key", "id"), "key")
+    involved = materialise(involved.select("key", "id", "n", "c", clean.alias("clean"), "grams"), "join-involved")
     first = involved.select("key", "grams")
 
     def fragments_of(keys: DataFrame) -> DataFrame:
@@ -263,30 +286,30 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         picked = rows.select("text", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))).alias("slot"))
         return materialise(picked.mapInArrow(_fragments(wanted), "key long, fragment int, grams array<long>"), "join-fragments")
 
-    groups = materialise(shared.join(involved.select("key", "n", "clean"), "key"), "join-groups")
+    groups = materialise(groups.select("gram", "key").join(involved.select("key", "n", "c", "clean"), "key"), "join-rows")
     labels = involved.select("key", F.col("key").alias("component"))
     total = groups.count()
     for turn in range(STAR_ROUNDS + 1):
-        now = groups.join(labels, "key")
-        parts_of = now.groupBy("gram", "component").agg(F.count("*").alias("c"), F.max(F.struct("clean", "key", "n")).alias("lead"))
-        largest = F.max(F.struct("c", "component"))
-        split = parts_of.groupBy("gram").agg(F.sum("c").alias("all"), F.count("*").alias("k"), largest.alias("big"), F.max(F.struct("lead", "component")).alias("best"))
+        now = groups.join(labels, "key") if turn else groups.withColumn("component", F.col("key"))
+        parts_of = now.groupBy("gram", "component").agg(F.count("*").alias("size"), F.max(F.struct("clean", "key", "n", "c")).alias("lead"))
+        largest = F.max(F.struct("size", "component"))
+        split = parts_of.groupBy("gram").agg(F.sum("size").alias("all"), F.count("*").alias("k"), largest.alias("big"), F.max(F.struct("lead", "component")).alias("best"))
         split = split.filter("k > 1")
         # in later rounds the leader is the cleanest outside the largest component
         if turn:
             outer = parts_of.join(split.select("gram", "big"), "gram").filter("component <> big.component").groupBy("gram").agg(F.max(F.struct("lead", "component")).alias("best"))
             split = split.drop("best").join(outer, "gram")
-        split = materialise(split.select("gram", "all", F.col("big.c").alias("most"), F.col("big.component").alias("big"), F.col("best.lead.key").alias("leader"), F.col("best.lead.n").alias("nl"), F.col("best.component").alias("lc")), "join-split")
+        split = materialise(split.select("gram", "all", F.col("big.size").alias("most"), F.col("big.component").alias("big"), F.col("best.lead.key").alias("leader"), F.col("best.lead.n").alias("nl"), F.col("best.lead.c").alias("cl"), F.col("best.component").alias("lc")), "join-split")
         work = split.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("w")).first()["w"]
         if work is None:
             break
         exact = work <= PAIRS_A_ROW * total or turn == STAR_ROUNDS
         if exact:
-            outside = now.join(split.select("gram", "big"), "gram").filter("component <> big").select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+            outside = now.join(split.select("gram", "big"), "gram").filter("component <> big").select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("c").alias("sx"), F.col("component").alias("cx"))
             pairs = outside.join(now.join(split.select("gram"), "gram", "left_semi"), "gram").filter("cx <> component")
         else:
-            pairs = now.join(split.select("gram", F.col("leader").alias("x"), F.col("nl").alias("nx"), F.col("lc").alias("cx")), "gram").filter("cx <> component")
-        pairs = pairs.filter("4 * least(n, nx) >= 3 * greatest(n, nx)")
+            pairs = now.join(split.select("gram", F.col("leader").alias("x"), F.col("nl").alias("nx"), F.col("cl").alias("sx"), F.col("lc").alias("cx")), "gram").filter("cx <> component")
+        pairs = pairs.filter("4 * least(n, nx) >= 3 * greatest(n, nx)").filter(F.least("c", "sx") >= _wanting(F.col("n"), F.col("nx")))
         lower = F.col("key") < F.col("x")
         pairs = pairs.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b"), F.when(lower, F.col("n")).otherwise(F.col("nx")).alias("na"), F.when(lower, F.col("nx")).otherwise(F.col("n")).alias("nb")).distinct()
         links = materialise(_linked(pairs, first, fragments_of), "join-links")
@@ -298,6 +321,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             labels = materialise(labels.join(roots, labels["component"] == roots["node"], "left").select("key", F.coalesce("root", "component").alias("component")), "join-labels")
         if exact:
             break
+        # a leader is done with its groups, and so are groups within one component or of two
+        open_groups = split.filter("all > 2").select("gram", "leader")
+        groups = materialise(groups.join(open_groups, "gram").filter("key <> leader").drop("leader"), "join-rows")
 
     named = involved.select("key", "id").join(labels, "key")
     smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
