@@ -323,7 +323,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             break
         # a leader is done with its groups, and so are groups within one component or of two
         open_groups = split.filter("all > 2").select("gram", "leader")
-        groups = materialise(groups.join(open_groups, "gram").filter("key <> leader").drop("leader"), "join-rows")
+        rest = materialise(groups.join(open_groups, "gram").filter("key <> leader").drop("leader", "c"), "join-rest")
+        able = materialise(_viable(rest.select("gram", "key", "n")).select("gram", "key"), "join-able")
+        # what a set shares is counted anew: the n-grams that an uncompared pair shares are all in open groups
+        counts = able.groupBy("key").agg(F.count("*").alias("c"))
+        groups = materialise(rest.join(able, ["gram", "key"]).join(counts, "key"), "join-rows")
 
     named = involved.select("key", "id").join(labels, "key")
     smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
