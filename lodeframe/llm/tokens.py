@@ -11,10 +11,11 @@ import regex
 #: White space, ASCII and other. Where it touches a blank, or a blank stands at an end, a text can't be cut at its blanks.
 NEAR = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 FAR = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Different chunks, and pieces, that a worker remembers.
-REMEMBERED = 400_000
-#: The pattern (a fixed value) by which the tokenizer cuts text into pieces, and the chunks that are cut by it here.
+#: Different chunks that a worker remembers.
+REMEMBERED = 500_000
+#: The pattern (a fixed value) by which the tokenizer cuts text into pieces; chunks that are one piece; and chunks that are cut by it here.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SIMPLE = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 PLAIN = re.compile("[\n -~\u00c0-\u024f]+")
 
 
@@ -23,6 +24,10 @@ def _touching(spaces: str) -> list[str]:
 
 
 TOUCHING, TOUCHING_FAR = _touching(NEAR), _touching(FAR)
+BEFORE_BREAK = [c + "\n" for c in NEAR + FAR]
+#: A comma or stop that doesn't follow a letter or digit may belong to a longer piece.
+FUSED = re.compile(r"[,.](?<=[\W_][,.])")
+CUT = "\x01"
 
 
 def irregular(text: str) -> bool:
@@ -37,6 +42,19 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def chunks_of(text: str) -> list[str] | None:
+    """Chunks whose tokens are the text's: cut before lone blanks and, where these stand alone too, before commas, stops and
+    line breaks. None where the text can't be cut."""
+    if CUT in text or irregular(text):
+        return None
+    marked = text.replace(" ", f"{CUT} ")
+    if not FUSED.search(text):
+        marked = marked.replace(",", f"{CUT},").replace(".", f"{CUT}.")
+    if "\n" in text and not any(x in text for x in BEFORE_BREAK):
+        marked = marked.replace("\n", f"{CUT}\n")
+    return marked.split(CUT)
+
+
 class Memory(dict):
     """Remembers up to `limit` entries. When it is full it stays as it is, since what comes often came early; after four times as many new
     entries it starts afresh, in case the texts have changed."""
@@ -56,10 +74,10 @@ class Memory(dict):
 
 
 class ChunkEncoder:
-    """Ids of texts by a byte-level BPE tokenizer, remembering the ids of chunks between blanks and of their pieces.
+    """Ids of texts by a byte-level BPE tokenizer, remembering the ids of chunks.
 
     The tokenizer's pattern lets no token reach over a blank but for a leading one, so a text whose blanks stand
-    alone is the concatenation of its chunks, each but the first with its leading blank. A new chunk of Latin letters is cut by the same
+    alone is the concatenation of its chunks (chunks_of). A new chunk of Latin letters is cut by the same
     pattern into pieces, which the tokenizer merges one by one. Other chunks and texts are encoded whole.
     """
 
@@ -69,24 +87,24 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.pieces = Memory(limit), Memory(limit)
+        self.chunks = Memory(limit)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks (a first chunk of a text is marked by a blank, which no other has)."""
-        texts = [x[1:] if x[:1] == " " else f" {x}" for x in chunks]
-        cut = [PIECES.findall(x) if PLAIN.fullmatch(x) else [x] for x in texts]
-        wanted = {p for parts in cut for p in parts}
-        new = list(wanted.difference(self.pieces))
+        """Ids of new chunks."""
+        cut = {x: PIECES.findall(x) for x in chunks if x and not SIMPLE.fullmatch(x) and PLAIN.fullmatch(x)}
+        wanted = {p for parts in cut.values() for p in parts}
+        wanted.update(x for x in chunks if x not in cut)
+        known = {p: self.chunks[p] for p in wanted if p in self.chunks}
+        new = list(wanted.difference(known))
         learned = dict(zip(new, self._encode(new), strict=True))
-        known = learned | {p: self.pieces[p] for p in wanted if p in self.pieces}
-        self.pieces.add(learned)
-        get = known.__getitem__
-        out = dict(zip(chunks, [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in cut], strict=True))
-        self.chunks.add(out)
-        return out
+        known |= learned
+        out = {x: b"".join(map(known.__getitem__, parts)) for x, parts in cut.items()}
+        learned |= out
+        self.chunks.add(learned)
+        return known | out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -96,11 +114,10 @@ class ChunkEncoder:
         get = self.chunks.get
         for k, text in enumerate(texts):
             out.append(None)
-            if irregular(text):
+            parts = chunks_of(text)
+            if parts is None:
                 whole.append(k)
                 continue
-            parts = text.split(" ")
-            parts[0] = f" {parts[0]}"
             found = list(map(get, parts))
             if None in found:
                 again.append((k, parts, found, [i for i, x in enumerate(found) if x is None]))
