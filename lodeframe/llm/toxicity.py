@@ -19,6 +19,8 @@ MIN_ROWS, RATIO, MAX_TERMS = 3, 8.0, 1_500
 STEMS = (5, 6, 7)
 #: Terms from this length on are caught with one edit.
 FUZZY_FROM = 5
+#: A learned term is caught with an edit if such a share of the toxic rows has it.
+FUZZY_SHARE = 0.03
 #: Words on each side of a caught term.
 WINDOW = 12
 REPORTING = frozenset("said says wrote quoted quote called claims claimed reported cited dit cite sagte zitiert dijo cita".split())
@@ -31,7 +33,8 @@ REMEMBERED = 300_000
 class Trie:
     """A lexicon of whole terms and stems with weights; search() walks it together with a word's Levenshtein automaton."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: frozenset[str] | None = None):
+        """fuzzy: the terms that are caught with an edit too (default: all)."""
         self.next: list[dict[str, int]] = [{}]
         self.term: list[float | None] = [None]
         self.stem: list[float | None] = [None]
@@ -47,9 +50,10 @@ class Trie:
                     at = self.next[at][c]
                 marks[at] = max(weight, marks[at] or 0.0)
         # with one edit, a term's first or second half stays as it is
-        self.terms = frozenset(terms)
-        self.heads = frozenset(t[: len(t) // 2] for t in terms)
-        self.tails = frozenset(t[len(t) // 2 :] for t in terms)
+        self.terms = frozenset(terms) if fuzzy is None else fuzzy
+        self.near = self if fuzzy is None else Trie({t: terms[t] for t in fuzzy}, {})
+        self.heads = frozenset(t[: len(t) // 2] for t in self.terms)
+        self.tails = frozenset(t[len(t) // 2 :] for t in self.terms)
         self.head_sizes = sorted({len(t) for t in self.heads})
         self.tail_sizes = sorted({len(t) for t in self.tails})
 
@@ -81,6 +85,8 @@ class Trie:
             return found, 0
         if len(word) < FUZZY_FROM or not self.possible(word):
             return None
+        if self.near is not self:
+            return self.near.search(word)
         best: float | None = None
         n = len(word)
         stack = [(0, 0, 0)]
@@ -113,8 +119,9 @@ def normalised(chunk: str) -> str:
     return chunk.strip(EDGE).lower()
 
 
-def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms and stems that toxic rows have far more often, with their log ratios as weights."""
+def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    """Terms and stems that toxic rows have far more often, with their log ratios as weights, and the terms to catch with an edit: seeds and
+    those of at least FUZZY_FROM characters in a FUZZY_SHARE of the toxic rows."""
     rows = [Counter(), Counter()]
     total = [1, 1]
     for text, y in zip(texts, labels, strict=True):
@@ -130,7 +137,7 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float]
                 out[term] = float(np.log(ratio))
         return out
 
-    terms = {t: w for t, w in weighed(rows[1], rows[0], MIN_ROWS).items() if len(t) >= 3}
+    terms = {t: w for t, w in weighed(rows[1], rows[0], max(MIN_ROWS, total[1] // 200)).items() if len(t) >= 3}
     stems = [Counter(), Counter()]
     for y in (0, 1):
         for term, n in rows[y].items():
@@ -145,7 +152,8 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float]
     terms = dict(sorted(terms.items(), key=lambda t: (-t[1] * np.log1p(rows[1][t[0]]), t[0]))[:MAX_TERMS])
     for seed in SEEDS:
         terms.setdefault(seed, float(np.log(RATIO)))
-    return terms, found
+    fuzzy = frozenset(t for t in terms if len(t) >= FUZZY_FROM and (t in SEEDS or rows[1][t] >= max(MIN_ROWS, FUZZY_SHARE * total[1])))
+    return terms, found, fuzzy
 
 
 FEATURES = ("sum", "worst window", "distinct", "density", "fuzzy share", "quoted share", "addressed share", "strong")
@@ -154,8 +162,8 @@ FEATURES = ("sum", "worst window", "distinct", "density", "fuzzy share", "quoted
 class Detector:
     """Catches lexicon terms in texts and turns them into features."""
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.trie = Trie(terms, stems)
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], fuzzy: frozenset[str] | None = None):
+        self.trie = Trie(terms, stems, fuzzy)
         self.known: dict[str, tuple[float, int] | None] = {}
         self.clean: set[str] = set()
 
@@ -224,10 +232,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[dict[str, float], dict[str, float], np.ndarray]:
-    """Terms, stems and the weights of the features. The lexicon is learned on two thirds of the rows at a time and
+def fit(texts: list[str], labels: list[int]) -> tuple[dict[str, float], dict[str, float], frozenset[str], np.ndarray]:
+    """Terms, stems, terms to catch with an edit, and the weights of the features. The lexicon is learned on two thirds of the rows at a time and
     the features of the other third train the weights, so these see terms as unlabelled texts have them."""
-    terms, stems = learn_lexicon(texts, labels)
+    terms, stems, fuzzy = learn_lexicon(texts, labels)
     x = np.zeros((len(texts), len(FEATURES)))
     for part in range(3):
         rest = [k for k in range(len(texts)) if k % 3 != part]
@@ -239,7 +247,7 @@ def fit(texts: list[str], labels: list[int]) -> tuple[dict[str, float], dict[str
         weights = np.array([2.0, 2.0, 1.0, 0.5, 0.0, -1.0, 0.5, 1.0, -4.0])
     else:
         weights = fit_logistic(x, y)
-    return terms, stems, weights
+    return terms, stems, fuzzy, weights
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -252,8 +260,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
     model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, "toxic", modulus, held_out, fit_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, stems, weights = model.value
-        detector = Detector(terms, stems)
+        terms, stems, fuzzy, weights = model.value
+        detector = Detector(terms, stems, fuzzy)
         for batch in batches:
             x = np.array([detector.features(t) for t in batch["text"].to_pylist()], float).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
