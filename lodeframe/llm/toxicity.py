@@ -19,8 +19,6 @@ MIN_ROWS, RATIO, MAX_TERMS = 3, 8.0, 1_500
 STEMS = (5, 6, 7)
 #: Terms from this length on are caught with one edit.
 FUZZY_FROM = 5
-#: A learned term is caught with an edit if such a share of the toxic rows has it.
-FUZZY_SHARE = 0.03
 #: Words on each side of a caught term.
 WINDOW = 12
 REPORTING = frozenset("said says wrote quoted quote called claims claimed reported cited dit cite sagte zitiert dijo cita".split())
@@ -30,6 +28,11 @@ EDGE = "\"'“”‘’«»„.,;:!?()[]{}<>|#*$%&-"
 REMEMBERED = 300_000
 
 
+def shortened(word: str) -> list[str]:
+    """word without one of its characters, for each."""
+    return [word[:k] + word[k + 1 :] for k in range(len(word))]
+
+
 class Trie:
     """A lexicon of whole terms and stems with weights; search() walks it together with a word's Levenshtein automaton."""
 
@@ -49,19 +52,13 @@ class Trie:
                         self.stem.append(None)
                     at = self.next[at][c]
                 marks[at] = max(weight, marks[at] or 0.0)
-        # with one edit, a term's first or second half stays as it is
-        self.terms = frozenset(terms) if fuzzy is None else fuzzy
         self.near = self if fuzzy is None else Trie({t: terms[t] for t in fuzzy}, {})
-        self.heads = frozenset(t[: len(t) // 2] for t in self.terms)
-        self.tails = frozenset(t[len(t) // 2 :] for t in self.terms)
-        self.head_sizes = sorted({len(t) for t in self.heads})
-        self.tail_sizes = sorted({len(t) for t in self.tails})
+        if fuzzy is None:
+            self.cut = frozenset(x for t in terms for x in (t, *shortened(t)))
 
     def possible(self, word: str) -> bool:
-        """Whether a term can be one edit away."""
-        if any(word[:k] in self.heads for k in self.head_sizes) or any(word[-k:] in self.tails for k in self.tail_sizes):
-            return True
-        return any(f"{word[:k]}{word[k + 1]}{word[k]}{word[k + 2 :]}" in self.terms for k in range(len(word) - 1))
+        """Whether a term can be one edit away: then the word or the term, or both without one character, are equal."""
+        return word in self.cut or not self.cut.isdisjoint(shortened(word))
 
     def exact(self, word: str) -> float | None:
         """The weight of the term, or of the longest stem that the word begins with."""
@@ -77,16 +74,18 @@ class Trie:
     def search(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the best match with at most one edit (a swap of neighbours counts as one).
 
-        A state of the automaton is (position in the word, edits so far); it moves along the trie's edges, so no term is
-        visited that shares no prefix with what the word can become.
+        A word is walked only where its deletions meet those of a term. A state of the automaton is (position in the word, edits
+        so far); it moves along the trie's edges, so no term is visited that shares no prefix with what the word can become.
         """
         found = self.exact(word)
         if found is not None:
             return found, 0
-        if len(word) < FUZZY_FROM or not self.possible(word):
+        if len(word) < FUZZY_FROM or not self.near.possible(word):
             return None
-        if self.near is not self:
-            return self.near.search(word)
+        best = self.near._walk(word)
+        return None if best is None else (best, 1)
+
+    def _walk(self, word: str) -> float | None:
         best: float | None = None
         n = len(word)
         stack = [(0, 0, 0)]
@@ -112,7 +111,7 @@ class Trie:
                 if at < n and c != word[at]:
                     stack.append((child, at + 1, 1))
                 stack.append((child, at, 1))
-        return None if best is None else (best, 1)
+        return best
 
 
 def normalised(chunk: str) -> str:
@@ -120,8 +119,8 @@ def normalised(chunk: str) -> str:
 
 
 def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
-    """Terms and stems that toxic rows have far more often, with their log ratios as weights, and the terms to catch with an edit: seeds and
-    those of at least FUZZY_FROM characters in a FUZZY_SHARE of the toxic rows."""
+    """Terms and stems that toxic rows have far more often, with their log ratios as weights, and the terms to catch with an edit:
+    all those of at least FUZZY_FROM characters."""
     rows = [Counter(), Counter()]
     total = [1, 1]
     for text, y in zip(texts, labels, strict=True):
@@ -137,7 +136,7 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float]
                 out[term] = float(np.log(ratio))
         return out
 
-    terms = {t: w for t, w in weighed(rows[1], rows[0], max(MIN_ROWS, total[1] // 200)).items() if len(t) >= 3}
+    terms = {t: w for t, w in weighed(rows[1], rows[0], MIN_ROWS).items() if len(t) >= 3}
     stems = [Counter(), Counter()]
     for y in (0, 1):
         for term, n in rows[y].items():
@@ -152,7 +151,7 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float]
     terms = dict(sorted(terms.items(), key=lambda t: (-t[1] * np.log1p(rows[1][t[0]]), t[0]))[:MAX_TERMS])
     for seed in SEEDS:
         terms.setdefault(seed, float(np.log(RATIO)))
-    fuzzy = frozenset(t for t in terms if len(t) >= FUZZY_FROM and (t in SEEDS or rows[1][t] >= max(MIN_ROWS, FUZZY_SHARE * total[1])))
+    fuzzy = frozenset(t for t in terms if len(t) >= FUZZY_FROM)
     return terms, found, fuzzy
 
 

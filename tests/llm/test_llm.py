@@ -342,6 +342,17 @@ def test_automaton_is_edit_distance():
         assert trie.search(w) == want, w
 
 
+def test_every_long_term_is_caught_with_an_edit():
+    rare = {"grumbleknot": 3, "snorvelpit": 6, "quadlegub": 40}
+    toxic = [f"plain words row{k} " + " ".join(t for t, n in rare.items() if k < n) for k in range(1000)]
+    terms, stems, fuzzy = toxicity.learn_lexicon(toxic + [f"plain words line{k}" for k in range(4000)], [1] * 1000 + [0] * 4000)
+    assert set(rare) <= set(terms) and fuzzy == {t for t in terms if len(t) >= toxicity.FUZZY_FROM}
+    detector = toxicity.Detector(terms, stems, fuzzy)
+    for t in rare:
+        for wrong in (t[:4] + t[5:], t[:4] + "é" + t[5:], t[:4] + "x" + t[4:], t[:3] + t[4] + t[3] + t[5:]):
+            assert detector.look_up(wrong) == (terms[t], 1), wrong
+
+
 def test_quotation_lowers():
     detector = toxicity.Detector({"idiot": 4.0, "moron": 4.0}, {})
     abuse, quote = detector.features("you idiot you are a moron"), detector.features('he said "idiot" and then wrote "moron" there')
