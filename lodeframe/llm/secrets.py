@@ -16,8 +16,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,512}")
-SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?\b|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|signature|session[_-]?id", re.IGNORECASE | re.ASCII)
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST}}}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+#: A line break, real or escaped, and what stands between two lines of a key, quotes of joined strings included.
+BREAK = r"(?:(?:\\+r)?\\+n|\r?\n)"
+JOINED = r"[\"'][\x20\t]*[+,\\]?[\x20\t]*\r?\n[\x20\t]*[\"']"
+GAP = re.compile(rf"(?:{JOINED}|{BREAK}[\x20\t]*(?:{JOINED})?)")
+LINE = re.compile(GAP.pattern + r"(?!-----)([A-Za-z0-9+/_=.~-]++)(?=[\s\"'`\\<,;)}\]]|\Z)")
+CLOSE = re.compile(GAP.pattern + "-----END")
+#: What follows the words of a key's first line: the rest of it, header lines and blank ones.
+HEADER = re.compile(rf"(?:\x20BLOCK)?-----{GAP.pattern}(?:[A-Za-z-]+:\x20[^\n\\]*{GAP.pattern})*(?:{GAP.pattern})*")
+SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?\b|pwd|secret|token|api[_-]?key|access[_-]?key|private[\x20_-]?key|auth|bearer|credential|signature|session[_-]?id", re.IGNORECASE | re.ASCII)
 CUES = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "signature", "session")
 #: Characters before a candidate that can make it sensitive, and around it that prime the compressor.
 REACH, AROUND = 48, 256
@@ -61,25 +71,76 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _mixed(x: str) -> bool:
-    return any(c.isdigit() for c in x) and any(c.isalpha() for c in x)
+    """Digits and letters, or letters of which three tenths at least are of each case, as names don't have."""
+    upper, lower = sum(c.isupper() for c in x), sum(c.islower() for c in x)
+    return upper + lower > 0 and (any(c.isdigit() for c in x) or min(upper, lower) >= 0.3 * (upper + lower))
+
+
+def _key_end(text: str, start: int, end: int, headed: bool, novelty: Novelty) -> int:
+    """The end of the key whose first line is text[start:end]: lines that directly follow it and are as long or novel, and a shorter last one."""
+    full, lines = end - start, 1
+    while m := LINE.match(text, end):
+        size = len(m[1])
+        if (headed and size == full) or (size >= LEAST and (size == full or _mixed(m[1])) and novelty.marginal(text, *m.span(1)) >= NOVELTY):
+            end, lines = m.end(), lines + 1
+            continue
+        if size < full and (headed or lines > 1 or m[1].endswith("=") or CLOSE.match(text, m.end())):
+            end = m.end()
+        break
+    return end
+
+
+def _left(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What spans leave of [start, end)."""
+    out = []
+    for a, b in taken:  # by start
+        if a < end and start < b:
+            out.append((start, a))
+            start = b
+    return [(a, b) for a, b in [*out, (start, end)] if a < b]
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty) -> list[tuple[int, int, float]]:
-    """(start, end, marginal bytes a byte) of incompressible strings after a sensitive word that no base span overlaps.
+    """(start, end, marginal bytes a byte) of incompressible strings after a sensitive word, without what base spans have of them.
 
-    A candidate has digits and letters. A sensitive word stands within REACH characters before it on its line.
+    A candidate is a whole run of at least LEAST characters, however long, with digits and letters or letters of both cases. A sensitive
+    word stands within REACH characters before it on its line, or in the first line of a private key. Key lines that directly follow,
+    by real or escaped line breaks, belong to it. What a base span leaves of a candidate is measured by itself; a rest of
+    under LEAST characters behind a base span goes by the whole run.
     """
-    out, taken = [], [(a, b) for _, a, b in base]
+    out, taken = [], sorted((a, b) for _, a, b in base)
     done = 0
     for cue in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(cue.end(), done), cue.end() + REACH + 512):
-            if m.start() > cue.end() + REACH or "\n" in text[cue.end() : m.start()]:
+        at, reach = max(cue.end(), done), cue.end() + REACH
+        opened = text.rfind("-----BEGIN", max(0, cue.start() - REACH), cue.start())
+        head = HEADER.match(text, cue.end()) if opened > text.rfind("-----END", max(0, cue.start() - REACH), cue.start()) else None
+        headed = head is not None and head.end() >= done
+        while True:
+            if headed and at <= head.end():
+                m = RUN.match(text, head.end())
+            elif (m := CANDIDATE.search(text, at, reach + LEAST)) and (m.start() > reach or "\n" in text[cue.end() : m.start()]):
+                m = None
+            if m is None:
                 break
-            done = m.end()
-            if _mixed(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken):
-                value = novelty.marginal(text, m.start(), m.end())
-                if value >= NOVELTY:
-                    out.append((m.start(), m.end(), value))
+            # the letter of an escaped break is no part of what follows
+            start = m.start() + (m.start() > 0 and text[m.start() - 1] == "\\" and text[m.start()] in "nrt")
+            end = RUN.match(text, m.start()).end()
+            at = done = end
+            if not headed and end - start < LEAST:
+                continue
+            whole = (headed or _mixed(text[start:end])) and (headed or novelty.marginal(text, start, end) >= NOVELTY)
+            first = end
+            if whole:
+                at = done = end = _key_end(text, start, end, headed, novelty)
+            headed = False
+            overlapping = [(a, b) for a, b in taken if a < end and start < b]
+            for a, b in _left(start, end, overlapping):
+                if gap := GAP.match(text, a, b):
+                    a = gap.end()
+                value = novelty.marginal(text, a, b) if a < b else 0.0
+                rest = whole and a < first and any(a == y for _, y in overlapping) and any(c.isalnum() for c in text[a:b])
+                if (rest and b - a < LEAST) or (value >= NOVELTY and (b - a >= LEAST or b > first) and (_mixed(text[a:b]) or b > first)):
+                    out.append((a, b, value))
     return out
 
 
