@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,32 +14,48 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .tokens import encoder, public_tokenizer
 
-#: The schedule repeats after so many windows, and shares are multiples of 1 / (window * PERIOD).
+#: The schedule repeats after so many windows (more where a period has under 4 tokens a queue), and shares are multiples of 1 / (window * PERIOD).
 PERIOD = 1024
-#: Queues that a window draws on; more sources than that share queues by their hash.
-MAX_QUEUES = 64
 #: Rows of (partition, queue) offsets that a broadcast may hold; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 END = 0
 
 
 class Segment:
-    """`windows` windows from `first` on: window g takes from each queue what window g % length of the table takes."""
-
-    def __init__(self, first: int, windows: int, takes: np.ndarray, begins: np.ndarray):
-        self.first, self.windows, self.begins = first, windows, begins
-        self.cum = np.vstack([np.zeros((1, takes.shape[1]), np.int64), np.cumsum(takes, 0)])
-        self.inner = np.cumsum(takes, 1) - takes
-        self.length = len(takes)
-
-    def served(self, g: int, s: int) -> int:
-        """Tokens of queue s in the first g windows."""
-        return int(g // self.length * self.cum[-1, s] + self.cum[g % self.length, s])
-
-
-def quotas(weights: np.ndarray, active: np.ndarray, window: int) -> np.ndarray:
-    """Integer shares of window * PERIOD by largest remainder, at least 1 for an active queue."""
-    total = window * PERIOD
+    """`windows` windows from `first` on: window g takes what row g % length of the table takes. A row is (queues, tokens of each); the table is kept
+    by queue without zeros, so its size depends on its rows' tokens and not on the number of queues."""
+
+    def __init__(self, first: int, windows: int, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.first, self.windows, self.length = first, windows, len(rows)
+        queue, take = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        inner = np.concatenate([np.cumsum(t) - t for _, t in rows])
+        row = np.repeat(np.arange(len(rows)), [len(q) for q, _ in rows])
+        order = np.argsort(queue, kind="stable")
+        self.row, self.take, self.inner = (x[order].astype(np.int32) for x in (row, take, inner))
+        self.queues, at = np.unique(queue[order], return_index=True)
+        self.at = np.append(at, len(order))
+        # tokens of the queue in earlier rows
+        cum = np.cumsum(self.take, dtype=np.int64) - self.take
+        self.cum = cum - np.repeat(cum[at], np.diff(self.at))
+        whole, part = divmod(windows, self.length)
+        #: Tokens of each of self.queues in all windows.
+        self.served = np.add.reduceat(self.take * (whole + (self.row < part)), at)
+
+    def pieces(self, queue: int, lo: int, hi: int) -> np.ndarray:
+        """Rows (begin, length, sequence, offset) of the queue's tokens [lo, hi) in this segment."""
+        k = int(np.searchsorted(self.queues, queue))
+        part = slice(int(self.at[k]), int(self.at[k + 1]))
+        cum, take = self.cum[part], self.take[part]
+        n, per = len(cum), int(cum[-1] + take[-1])
+        j0, j1 = (x // per * n + int(np.searchsorted(cum, x % per, "right")) - 1 for x in (lo, hi - 1))
+        turn, j = np.divmod(np.arange(j0, j1 + 1), n)
+        bound = turn * per + cum[j]
+        a, b = np.maximum(bound, lo), np.minimum(bound + take[j], hi)
+        return np.stack([a, b - a, self.first + turn * self.length + self.row[part][j], self.inner[part][j] + a - bound], 1)
+
+
+def quotas(weights: np.ndarray, active: np.ndarray, total: int) -> np.ndarray:
+    """Integer shares of total by largest remainder, at least 1 for an active queue."""
     share = np.where(active, weights, 0.0)
     exact = share / share.sum() * total
     out = np.where(active, np.maximum(1, np.floor(exact)), 0).astype(np.int64)
@@ -57,15 +73,14 @@ def quotas(weights: np.ndarray, active: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def round_robin(quantum: np.ndarray, window: int) -> np.ndarray:
-    """Tokens that each of PERIOD windows takes from each queue. A queue earns quantum / PERIOD tokens a window; what it has
+def round_robin(quantum: np.ndarray, window: int, period: int) -> Iterator[np.ndarray]:
+    """Tokens that each of period windows takes from each queue. A queue earns quantum / period tokens a window; what it has
     earned and not been served is its deficit, carried to the next window. Room left by fractions goes to the largest deficits."""
-    takes = np.zeros((PERIOD, len(quantum)), np.int64)
     deficit = np.zeros(len(quantum), np.int64)
-    for w in range(PERIOD):
+    for _ in range(period):
         deficit += quantum
-        take = np.maximum(deficit // PERIOD, 0)
-        rest = deficit - take * PERIOD
+        take = np.maximum(deficit // period, 0)
+        rest = deficit - take * period
         room = window - int(take.sum())
         if room > 0:
             take[np.argsort(-rest, kind="stable")[:room]] += 1
@@ -74,9 +89,27 @@ def round_robin(quantum: np.ndarray, window: int) -> np.ndarray:
             worst = able[np.argsort(rest[able], kind="stable")[:-room]]
             take[worst] -= 1
             room += len(worst)
-        deficit -= take * PERIOD
-        takes[w] = take
-    return takes
+        deficit -= take * period
+        yield take
+
+
+def _row(take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    queues = np.flatnonzero(take)
+    return queues, take[queues]
+
+
+def _fitting(rows: Iterable[np.ndarray | tuple[np.ndarray, np.ndarray]], left: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray | None]:
+    """The first rows that the queues last for, what is left then, and the row that they don't last for."""
+    out, left = [], left.copy()
+    for take in rows:
+        queues, n = take if isinstance(take, tuple) else _row(take)
+        if (n > left[queues]).any():
+            short = np.zeros(len(left), np.int64)
+            short[queues] = n
+            return out, left, short
+        left[queues] -= n
+        out.append((queues, n))
+    return out, left, None
 
 
 def schedule(totals: list[int], weights: list[float], window: int = 1024) -> tuple[list[Segment], list[int], int]:
@@ -87,7 +120,7 @@ def schedule(totals: list[int], weights: list[float], window: int = 1024) -> tup
     """
     left = np.array(totals, np.int64)
     wanted = np.array(weights, float)
-    served = np.zeros(len(left), np.int64)
+    period = max(PERIOD, -(-4 * len(left) // window))
     out: list[Segment] = []
     first = 0
     while left.sum() >= window:
@@ -96,23 +129,20 @@ def schedule(totals: list[int], weights: list[float], window: int = 1024) -> tup
             wanted = np.where(active, 1.0, 0.0)
         active_weights = np.where(active & (wanted > 0), wanted, 0.0)
         active = active_weights > 0
-        quantum = quotas(active_weights, active, window)
-        takes = round_robin(quantum, window)
-        cum = np.vstack([np.zeros((1, len(left)), np.int64), np.cumsum(takes, 0)])
-        whole = int(min(left[s] // cum[-1, s] for s in np.flatnonzero(cum[-1] > 0)))
-        rest = left - whole * cum[-1]
-        part = int(np.max(np.flatnonzero((cum <= rest).all(1))))
-        if part == PERIOD:
-            whole, part = whole + 1, 0
-        windows = whole * PERIOD + part
+        rows, rest, short = _fitting(round_robin(quotas(active_weights, active, window * period), window, period), left)
+        windows = len(rows)
+        if short is None:  # the queues last for a period
+            used = left - rest
+            whole = int((left[used > 0] // used[used > 0]).min())
+            part, rest, short = _fitting(rows, left - whole * used)
+            windows = whole * period + len(part)
         if windows:
-            out.append(Segment(first, windows, takes, served.copy()))
-            used = whole * cum[-1] + cum[part]
-            left, served, first = left - used, served + used, first + windows
+            out.append(Segment(first, windows, rows))
+            left, first = rest, first + windows
         if left.sum() < window:
             break
         # a queue runs out in this window
-        take = np.minimum(takes[part], left)
+        take = np.minimum(short, left)
         while (room := window - int(take.sum())) > 0:
             can = left - take
             share = np.where(can > 0, np.maximum(wanted, 1e-12), 0.0)
@@ -120,8 +150,8 @@ def schedule(totals: list[int], weights: list[float], window: int = 1024) -> tup
             if not more.any():
                 more[np.argmax(np.where(can > 0, share, -1.0))] = 1
             take += more
-        out.append(Segment(first, 1, take[None, :], served.copy()))
-        left, served, first = left - take, served + take, first + 1
+        out.append(Segment(first, 1, [_row(take)]))
+        left, first = left - take, first + 1
     return out, [int(x) for x in left], first
 
 
@@ -139,24 +169,26 @@ class Plan:
         self.tail_begin = np.array(totals, np.int64) - np.array(tail, np.int64)
         self.tail_inner = np.cumsum([0, *tail])[:-1]
         self.tail_cuts = np.cumsum([0, *tail_sizes(sum(tail))])
+        # by queue: its segments, and its tokens before each and after the last
+        queue, served = (np.concatenate([np.zeros(0, np.int64), *[getattr(s, k) for s in self.segments]]) for k in ("queues", "served"))
+        segment = np.repeat(np.arange(len(self.segments)), [len(s.queues) for s in self.segments])
+        order = np.argsort(queue, kind="stable")
+        self.of = np.searchsorted(queue[order], np.arange(len(totals) + 1))
+        self.segment_of = segment[order]
+        ends = np.cumsum(served[order])
+        self.ends = ends - np.repeat(np.append(0, ends)[self.of[:-1]], np.diff(self.of))
 
     def pieces(self, queue: int, begin: int, n: int) -> np.ndarray:
         """Rows (start in the document, length, sequence, offset)."""
         found, end = [], begin + n
-        for seg in self.segments:
-            per = int(seg.cum[-1, queue])
-            lo, hi = max(0, begin - int(seg.begins[queue])), min(end - int(seg.begins[queue]), seg.served(seg.windows, queue))
-            if per == 0 or lo >= hi:
-                continue
-            own = seg.cum[:, queue]
-            g0 = lo // per * seg.length + int(np.searchsorted(own, lo % per, "right")) - 1
-            g1 = (hi - 1) // per * seg.length + int(np.searchsorted(own, (hi - 1) % per, "right")) - 1
-            g = np.arange(g0, g1 + 1)
-            w = g % seg.length
-            bound = g // seg.length * per + own[w]
-            a, b = np.maximum(bound, lo), np.minimum(bound + own[w + 1] - own[w], hi)
-            rows = np.stack([a + int(seg.begins[queue]) - begin, b - a, seg.first + g, seg.inner[w, queue] + a - bound], 1)
-            found.append(rows[rows[:, 1] > 0])
+        own, ends = self.segment_of[self.of[queue] : self.of[queue + 1]], self.ends[self.of[queue] : self.of[queue + 1]]
+        for k in range(int(np.searchsorted(ends, begin, "right")), len(own)):
+            before = int(ends[k - 1]) if k else 0
+            if before >= end:
+                break
+            rows = self.segments[own[k]].pieces(queue, max(0, begin - before), min(end, int(ends[k])) - before)
+            rows[:, 0] += before - begin
+            found.append(rows)
         if end > self.tail_begin[queue]:
             a = max(begin, int(self.tail_begin[queue]))
             at = int(self.tail_inner[queue]) + a - int(self.tail_begin[queue])
@@ -168,17 +200,21 @@ class Plan:
 
 
 TOKENS = "part int, queue int, doc_id long, before long, n long, ids binary"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+
+
+#: The queue of rows without a source.
+NULL = "\0null"
 
 
-def _tokenise(path: str):
+def _tokenise(path: str, queue_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), {}
         code = encoder(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 rows = batch.slice(k, 512)
-                ids, queues = code.encode([x or "" for x in rows["text"].to_pylist()]), rows["queue"].to_pylist()
+                ids, queues = code.encode([x or "" for x in rows["text"].to_pylist()]), list(map(queue_of.value.__getitem__, rows["source"].to_pylist()))
                 end = np.array([END], "<u4").tobytes()
                 ids = [x + end for x in ids]
                 n = [len(x) // 4 for x in ids]
@@ -188,16 +224,17 @@ def _tokenise(path: str):
                     before[q] = at[-1] + size
                 short = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(n), pa.int32()), rows["queue"].cast(pa.int32()), rows["doc_id"], pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(short, pa.binary())],
+                    [pa.array([part] * len(n), pa.int32()), pa.array(queues, pa.int32()), rows["doc_id"], pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(short, pa.binary())],
                     names=["part", "queue", "doc_id", "before", "n", "ids"],
                 )
 
     return run
 
 
-def _place(plan, with_ids: bool):
+def _place(plan, queue_of, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = plan.value
+        sources = pa.array([None if x == NULL else x for x in queue_of.value], pa.string())
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = batch.slice(k, 256)
@@ -214,8 +251,8 @@ def _place(plan, with_ids: bool):
                         ids += [np.frombuffer(x, "<i4") for x in cut]
                 at = np.concatenate(found)
                 take = pa.array(np.repeat(np.arange(len(repeat)), repeat))
-                out = [rows["doc_id"].take(take), *[pa.array(at[:, c]) for c in (0, 1)], pa.array(crcs, pa.int64()), rows["n"].take(take), *[pa.array(at[:, c]) for c in (2, 3)], rows["queue"].take(take)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
+                out = [rows["doc_id"].take(take), *[pa.array(at[:, c]) for c in (0, 1)], pa.array(crcs, pa.int64()), rows["n"].take(take), *[pa.array(at[:, c]) for c in (2, 3)], sources.take(rows["queue"].take(take))]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
                 if with_ids:
                     out.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
@@ -233,22 +270,18 @@ def pack(
     carries the deficit, under one token, to the next window, also over partitions and periods. mixture: weights by source
     (default: the sources' tokens, so all queues end together); sources that it doesn't name follow when the others have run out. All
     sequences are full but for the last few, whose sizes are powers of two. Returns a row for each piece: doc_id, start,
-    length, ids_crc32, doc_tokens, sequence_id, offset, source (null where sources share a queue) and, with_ids, the ids.
+    length, ids_crc32, doc_tokens, sequence_id, offset, source and, with_ids, the ids.
 
-    Null and empty texts are END alone. Null sources are one queue. Repeated rows and null ids are packed as they stand. An empty table
+    Null and empty texts are END alone. Null sources are one queue; any number of sources has a queue each. Repeated rows and null ids are packed as they stand. An empty table
     gives no rows. Vocabularies of up to 65,536 ids. Only (partition, queue) totals leave the token table, which is written once to the shared folder.
     """
     spark = docs.sparkSession
     path = tokenizer or public_tokenizer()
-    name = F.coalesce(F.col(source).cast("string"), F.lit("\0null"))
-    names = sorted(r[0] for r in docs.select(name.alias("q")).distinct().limit(MAX_QUEUES + 1).collect())
-    folded = len(names) > MAX_QUEUES
-    if folded:
-        names, queue = [str(k) for k in range(MAX_QUEUES)], F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("int")
-    else:
-        queue = (F.array_position(F.array(*[F.lit(x) for x in names]), name) - 1).cast("int") if names else F.lit(0)
-    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), queue.alias("queue"))
-    tokens = materialise(ready.mapInArrow(_tokenise(path), TOKENS), "pack-tokens")
+    name = F.coalesce(F.col(source).cast("string"), F.lit(NULL))
+    names = sorted(r[0] for r in docs.select(name.alias("q")).distinct().collect())
+    queue_of = spark.sparkContext.broadcast({x: k for k, x in enumerate(names)})
+    ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), name.alias("source"))
+    tokens = materialise(ready.mapInArrow(_tokenise(path, queue_of), TOKENS), "pack-tokens")
     totals = tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = materialise(totals.withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0))), "pack-base")
@@ -258,6 +291,4 @@ def pack(
     base = base.select("queue", "part", "base")
     small = base.count() <= BROADCAST_ROWS
     placed = tokens.join(F.broadcast(base) if small else base, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("begin"), "n", "ids")
-    out = placed.mapInArrow(_place(plan, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
-    label = F.lit(None).cast("string") if folded or not names else F.get(F.array(*[F.lit(None if x == "\0null" else x).cast("string") for x in names]), F.col("queue"))
-    return out.withColumn("source", label).drop("queue")
+    return placed.mapInArrow(_place(plan, queue_of, with_ids), PIECES + (", ids array<int>" if with_ids else ""))

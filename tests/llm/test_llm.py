@@ -146,6 +146,24 @@ def test_packing_mixture(docs):
     assert first["s0"] == 3 * first["s1"] == 384
 
 
+def test_packing_keeps_many_sources(spark):
+    source = lambda k: None if k == 99 else f"s{k:03d}"
+    docs = spark.createDataFrame([(100 * j + k, " ".join(["word"] * (400 if k == 5 else 20)), source(k)) for k in range(100) for j in range(8)], "doc_id bigint, text string, source string").repartition(3)
+    got = rows(packing.pack(docs, with_ids=False))
+    assert all(r["source"] == source(r["doc_id"] % 100) for r in got)
+    totals, taken = collections.Counter(), collections.Counter()
+    for r in got:
+        totals[r["source"]] += r["length"]
+        taken[r["sequence_id"], r["source"]] += r["length"]
+    whole = sum(totals.values())
+    assert len(totals) == 100 and all(abs(taken[w, s] - 1024 * totals[s] / whole) <= 2 for w in range(whole // 1024 - 3) for s in totals)
+    first = collections.Counter()
+    for r in rows(packing.pack(docs, window=64, mixture={"s003": 3.0, "s007": 1.0}, with_ids=False)):
+        if r["sequence_id"] < 3:
+            first[r["source"]] += r["length"]
+    assert first == {"s003": 144, "s007": 48}
+
+
 @pytest.mark.parametrize("totals", [[5, 3, 2_000_000, 700_000], [100], [0, 5000], [1024], [3_000_000, 1, 77_777], []])
 def test_schedule_serves_all(totals):
     plan = packing.Plan(totals, [float(x) for x in totals], 1024)
