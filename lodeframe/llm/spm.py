@@ -129,10 +129,10 @@ class PieceCodec:
         own = [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
         theirs = self.library.encode(texts, num_threads=1)
         own = [x if t else [] for x, t in zip(own, texts, strict=True)]
-        return [array("I", x).tobytes() for x in theirs], [a == b for a, b in zip(own, theirs, strict=True)]
+        return [array("I", x).tobytes() for x in own], [a == b for a, b in zip(own, theirs, strict=True)]
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Little-endian unsigned 32-bit ids, and whether both libraries agree on the text. Where they don't, the ids are SentencePiece's."""
+        """Little-endian unsigned 32-bit ids, and whether the SentencePiece library agrees on the text. The ids are the rebuilt tokenizer's in any case."""
         out: list[tuple[bytes, bool]] = [(b"", True)] * len(texts)
         again: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         whole: list[int] = []
@@ -188,7 +188,7 @@ def model_path() -> str:
 def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", threads: int = 2, with_ids: bool = True) -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip, parity and, with_ids, the ids.
 
-    round_trip: the decoded ids are the text. parity: the rebuilt tokenizer and the SentencePiece library give
+    The ids are the rebuilt tokenizer's. round_trip: the decoded ids are the text. parity: the SentencePiece library gives
     the same ids; each distinct chunk between blanks is held against the library once a worker. Null and empty
     texts have no ids and round-trip to the empty text. Repeated rows and null ids stay. No shuffle; memory is bounded by a batch and the chunks remembered.
     """

@@ -332,6 +332,20 @@ def test_pieces(docs, empty, spark):
     assert len(model.pieces) == 32_000 and model.kind == spm.BPE and model.byte_fallback
 
 
+def test_pieces_are_the_backends():
+    code = spm.PieceCodec(spm.model_path())
+    cases = ["one two", " lead", "", "日本 😀"]
+    want = [code.backend.encode(x, add_special_tokens=False).ids if x else [] for x in cases]
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[5] if x in ("two", " lead") else code.backend.encode(x, add_special_tokens=False).ids if x else [] for x in texts]
+
+    code.library = Other()
+    ids, same = code.encode(cases)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want and same == [False, False, True, True]
+
+
 def test_unigram_backend():
     model = spm.PieceModel([("<unk>", 0.0, spm.UNKNOWN), ("▁", -3.0, 1), ("▁ab", -1.0, 1), ("a", -4.0, 1), ("b", -4.0, 1), ("▁a", -2.0, 1)], spm.UNIGRAM)
     assert model.tokenizer().encode("ab  a", add_special_tokens=False).tokens == ["▁ab", "▁a"]
