@@ -16,8 +16,8 @@ MIN_WORDS = 50
 SUPPORT, STEPS = 0.75, 3
 #: Rows that a group needs for an estimate of its own; smaller ones take their language's, then everyone's.
 MIN_ROWS = 200
-#: Smallest standard deviation of each transformed statistic: a smaller spread is no ground for rejection. A header that comes again as a footer isn't either.
-FLOORS = {"x_len": 1.2, "x_word": 0.8, "x_symbol": 0.08, "x_dup": 0.3, "x_repeat": 0.12, "x_upper": 0.08, "x_mark": 0.08}
+#: Smallest standard deviation of each transformed statistic: a smaller spread is no ground for rejection.
+FLOORS = {"x_len": 1.2, "x_word": 0.8, "x_symbol": 0.08, "x_dup": 0.15, "x_repeat": 0.1, "x_upper": 0.08, "x_mark": 0.08}
 #: A document is rejected beyond this quantile of the chi-square distribution.
 TAIL = 1e-6
 STATS = list(FLOORS)
@@ -74,21 +74,26 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     value = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     by_words = let(words(F.col(text)), lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeated(w).alias("r")))
-    by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+    footed = lambda x: (F.size(x) > 1) & (F.get(x, F.lit(0)) == F.get(x, F.size(x) - 1))
+    head = lambda x: F.when(footed(x), F.size(words(F.get(x, F.lit(0))))).otherwise(F.lit(0))
+    by_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"), head(x).alias("h")))
     out = docs.withColumns({"__w": by_words, "__l": by_lines, "n_symbols": F.regexp_count(value, F.lit(SYMBOLS)), "n_upper": F.regexp_count(value, F.lit(r"\p{Lu}")), "n_marks": F.regexp_count(value, F.lit("[!?|]"))})
-    named = {"n_words": "__w.n", "word_chars": "__w.c", "n_repeat_words": "__w.r", "n_dup_lines": "__l.d", "n_symbols": "n_symbols", "n_upper": "n_upper", "n_marks": "n_marks", "__lines": "__l.n"}
+    named = {"n_words": "__w.n", "word_chars": "__w.c", "n_repeat_words": "__w.r", "n_dup_lines": "__l.d", "n_symbols": "n_symbols", "n_upper": "n_upper", "n_marks": "n_marks", "__lines": "__l.n", "__head": "__l.h"}
     return out.withColumns({k: F.col(v).cast("long") for k, v in named.items()}).drop("__w", "__l")
 
 
 def _transformed(df: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1))
+    # a header that comes again as the footer is no repetition: its second line isn't counted, nor the words of the two
+    dup = F.col("n_dup_lines") - F.when(F.col("__head") > 0, F.lit(1)).otherwise(F.lit(0))
+    repeat = F.greatest(F.col("n_repeat_words") - F.when(F.col("__head") > 2, 2 * F.col("__head")).otherwise(F.lit(0)), F.lit(0))
     return df.withColumns(
         {
             "x_len": F.log1p("n_words"),
             "x_word": F.log1p(F.col("word_chars") / n) * 2,
             "x_symbol": F.sqrt(F.col("n_symbols") / n),
-            "x_dup": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("__lines"), F.lit(1))),
-            "x_repeat": F.sqrt(F.col("n_repeat_words") / n),
+            "x_dup": F.sqrt(dup / F.greatest(F.col("__lines"), F.lit(1))),
+            "x_repeat": F.sqrt(repeat / n),
             "x_upper": F.sqrt(F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))),
             "x_mark": F.sqrt(F.col("n_marks") / n),
         }
@@ -188,11 +193,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
     A document fails the base rules with under MIN_WORDS words or with more than half of its words in repeated
     three-word windows. The others are held against their language's and source's robust estimate and rejected beyond the chi-square
-    quantile; estimates come from documents that pass the base rules. Null or empty text fails the base rules. Null languages and sources are groups of
+    quantile; estimates come from documents that pass the base rules. A first line that is also the last isn't counted as repeated in the distance. Null or empty text fails the base rules. Null languages and sources are groups of
     their own. Repeated rows are judged alike. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    stats = _transformed(base_statistics(_grouped(rows, "text", "lang", "source"))).drop("text", "lang", "source", "__lines")
+    stats = _transformed(base_statistics(_grouped(rows, "text", "lang", "source"))).drop("text", "lang", "source", "__lines", "__head")
     judged = _judged(materialise(stats.withColumn("base_failed", _failed()), "quality-stats"), tail)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance")

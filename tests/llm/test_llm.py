@@ -228,6 +228,18 @@ def test_outliers_go(spark):
     assert not any(got[k] for k, *_ in bad) and sum(got[k] for k, *_ in good) >= 297
 
 
+def test_heavy_line_repetition_goes(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join("abcdefgh"[: rng.randint(3, 8)] + str(rng.randint(0, 999)) for _ in range(n))
+    good = ["\n".join(line(10) for _ in range(12)) for _ in range(300)]
+    footed = [f"{h}\n{x}\n{h}" for x in good[:20] if (h := line(8))]
+    heavy = ["\n".join([*(line(10) for _ in range(7)), *[line(4)] * 13]) for _ in range(20)]
+    df = spark.createDataFrame([(k, x, "en", "s") for k, x in enumerate(good + footed + heavy)], "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in rows(quality_mcd.quality_rules(df))}
+    assert all(got[k]["kept"] for k in range(300, 320)) and sum(got[k]["kept"] for k in range(300)) >= 297
+    assert not any(got[k]["kept"] or got[k]["base_failed"] for k in range(320, 340))
+
+
 def test_line_dedup(docs, empty, spark):
     lines = [(f"h{k % 2}", f"head line\nbody {k}\n\n{'rare' if k in (1, 3) else 'own ' + str(k)}\n  head line ") for k in range(12)] + [("h9", "head line\nx"), (None, None), (None, "head line")]
     df = spark.createDataFrame([(k, h, t, "clash") for k, (h, t) in enumerate(lines)], "page bigint, host string, text string, key string")
