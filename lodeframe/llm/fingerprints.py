@@ -71,8 +71,10 @@ def _phrases(names: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.nda
     text_of, first = text_of[at], first[at]
     if names.dtype == np.uint64:
         names = np.where(length > 1, mix(base * STEP + length), base)
-    else:  # code points: a run's length goes above them, into bits that no code point has
+    else:  # code points: a run's length goes above them, into bits that no code point has; names of longer runs are of 64 bits
         names = base.astype(np.uint32) | (np.minimum(length, 2047).astype(np.uint32) - np.uint32(1)) << np.uint32(21)
+        if (length > 2047).any():
+            names = np.where(length > 2047, mix(base.astype(np.uint64) * STEP + length), names.astype(np.uint64))
     n = len(names)
     label = _coin(names, np.flatnonzero(first))
     cut = first.copy()

@@ -326,6 +326,11 @@ def test_fingerprints_are_local():
     assert (fingerprints.sketch(["zz", text, ""])[1] == a).all()
 
 
+def test_fingerprints_tell_long_runs_apart():
+    names = [fingerprints.sketch(["ab" + "-" * n + "cd"])[0] for n in (2046, 2047, 2048, 3000)]
+    assert all(fingerprints.likeness(a, b) < 1 for k, a in enumerate(names) for b in names[:k])
+
+
 def test_pieces(docs, empty, spark):
     path = spm.model_path()
     import sentencepiece
