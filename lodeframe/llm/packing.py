@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import encoder, public_tokenizer
+from .tokens import encoder, public_tokenizer, vocabulary
 
 #: The schedule repeats after so many windows (more where a period has under 4 tokens a queue), and shares are multiples of 1 / (window * PERIOD).
 PERIOD = 1024
@@ -207,7 +207,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 NULL = "\0null"
 
 
-def _tokenise(path: str, queue_of):
+def _tokenise(path: str, queue_of, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), {}
         code = encoder(path)
@@ -222,7 +222,7 @@ def _tokenise(path: str, queue_of):
                 for q, size in zip(queues, n, strict=True):
                     at.append(before.get(q, 0))
                     before[q] = at[-1] + size
-                short = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                short = ids if width == "<u4" else [np.frombuffer(x, "<u4").astype(width).tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(n), pa.int32()), pa.array(queues, pa.int32()), rows["doc_id"], pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(short, pa.binary())],
                     names=["part", "queue", "doc_id", "before", "n", "ids"],
@@ -231,7 +231,7 @@ def _tokenise(path: str, queue_of):
     return run
 
 
-def _place(plan, queue_of, with_ids: bool):
+def _place(plan, queue_of, width: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = plan.value
         sources = pa.array([None if x == NULL else x for x in queue_of.value], pa.string())
@@ -242,7 +242,7 @@ def _place(plan, queue_of, with_ids: bool):
                 found, crcs, ids, repeat = [], [], [], []
                 for queue, begin, n, short in zip(*cols, strict=True):
                     at = ready.pieces(queue, begin, n)
-                    raw = memoryview(np.frombuffer(short, "<u2").astype("<u4").tobytes())
+                    raw = memoryview(np.frombuffer(short, width).astype("<u4").tobytes())
                     found.append(at)
                     repeat.append(len(at))
                     cut = [raw[4 * a : 4 * (a + m)] for a, m in at[:, :2].tolist()]
@@ -273,15 +273,17 @@ def pack(
     length, ids_crc32, doc_tokens, sequence_id, offset, source and, with_ids, the ids.
 
     Null and empty texts are END alone. Null sources are one queue; any number of sources has a queue each. Repeated rows and null ids are packed as they stand. An empty table
-    gives no rows. Vocabularies of up to 65,536 ids. Only (partition, queue) totals leave the token table, which is written once to the shared folder.
+    gives no rows. Texts of any length are encoded whole. Other columns of docs, whatever their names, are ignored. Ids are kept in 16 bits where the vocabulary has up to
+    65,536 of them, else in 32. Only (partition, queue) totals leave the token table, which is written once to the shared folder.
     """
     spark = docs.sparkSession
     path = tokenizer or public_tokenizer()
+    width = "<u2" if vocabulary(path) <= 1 << 16 else "<u4"
     name = F.coalesce(F.col(source).cast("string"), F.lit(NULL))
     names = sorted(r[0] for r in docs.select(name.alias("q")).distinct().collect())
     queue_of = spark.sparkContext.broadcast({x: k for k, x in enumerate(names)})
     ready = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), name.alias("source"))
-    tokens = materialise(ready.mapInArrow(_tokenise(path, queue_of), TOKENS), "pack-tokens")
+    tokens = materialise(ready.mapInArrow(_tokenise(path, queue_of, width), TOKENS), "pack-tokens")
     totals = tokens.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
     ahead = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = materialise(totals.withColumn("base", F.coalesce(F.sum("tokens").over(ahead), F.lit(0))), "pack-base")
@@ -291,4 +293,4 @@ def pack(
     base = base.select("queue", "part", "base")
     small = base.count() <= BROADCAST_ROWS
     placed = tokens.join(F.broadcast(base) if small else base, ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("before")).alias("begin"), "n", "ids")
-    return placed.mapInArrow(_place(plan, queue_of, with_ids), PIECES + (", ids array<int>" if with_ids else ""))
+    return placed.mapInArrow(_place(plan, queue_of, width, with_ids), PIECES + (", ids array<int>" if with_ids else ""))

@@ -4,7 +4,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -177,40 +176,52 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]])
 
 
+#: Rows that are scanned at a time: what a worker holds as Python strings stays small whatever the size of Arrow's batches.
+SLICE = 256
+
+
 def find_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", redacted: bool = False) -> DataFrame:
     """One row a document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans, max_novelty and, if wanted, redacted.
 
-    Null and empty texts have no spans; a null text stays null when redacted. Whole texts are scanned, overlapping spans of different
-    kinds are all kept, repeated rows give equal rows. One pass without a shuffle.
+    Null and empty texts have no spans; a null text stays null when redacted. Whole texts are scanned, however long, and so are whole runs in them. Overlapping spans of different
+    kinds are all kept; repeated rows give equal rows; null ids stay. An empty table gives no rows. Other columns, whatever their names, are ignored. One pass without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "max_novelty", "redacted")}
-            for value in batch["text"].to_pylist():
-                base, spans, most = scan(value, novelty)
-                for kind in KINDS:
-                    rows[f"n_{kind}"].append(sum(s[0] == kind for s in spans))
-                rows["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
-                rows["spans"].append(joined(spans))
-                rows["max_novelty"].append(most)
-                rows["redacted"].append((redact(value, spans) if spans else value) if redacted and value is not None else None)
-            kinds = {"base_sha256": pa.string(), "spans": pa.string(), "max_novelty": pa.float64(), "redacted": pa.string()}
-            names = [c for c in rows if redacted or c != "redacted"]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(rows[c], kinds.get(c, pa.int64())) for c in names]], names=["doc_id", *names])
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                rows: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "max_novelty", "redacted")}
+                for value in part["text"].to_pylist():
+                    base, spans, most = scan(value, novelty)
+                    for kind in KINDS:
+                        rows[f"n_{kind}"].append(sum(s[0] == kind for s in spans))
+                    rows["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
+                    rows["spans"].append(joined(spans))
+                    rows["max_novelty"].append(most)
+                    rows["redacted"].append((redact(value, spans) if spans else value) if redacted and value is not None else None)
+                kinds = {"base_sha256": pa.string(), "spans": pa.string(), "max_novelty": pa.float64(), "redacted": pa.string()}
+                names = [c for c in rows if redacted or c != "redacted"]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *[pa.array(rows[c], kinds.get(c, pa.int64())) for c in names]], names=["doc_id", *names])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, max_novelty double" + (", redacted string" if redacted else "")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of `text` replaced by mark; all rows and other columns stay. Null texts stay null."""
+    """docs with every span of `text` replaced by mark; all rows and other columns stay, also of clashing names. Null texts stay null, empty ones empty; an empty
+    table gives no rows. Texts without a span pass as they are, in slices of SLICE rows through one pass without a shuffle."""
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("string")
-    def cleaned(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for values in parts:
-            yield pd.Series([value if value is None or not (spans := scan(value, novelty)[1]) else redact(value, spans, mark) for value in values], dtype=object)
-
-    return docs.withColumn(text, cleaned(F.col(text)))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                cleaned = [value if value is None or not (spans := scan(value, novelty)[1]) else redact(value, spans, mark) for value in part.column(at).to_pylist()]
+                columns = part.columns
+                columns[at] = pa.array(cleaned, part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return docs.mapInArrow(run, docs.schema)

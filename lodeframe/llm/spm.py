@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Memory
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-REMEMBERED = 400_000
+#: Chunks that a worker remembers, and the longest that is worth it: together they bound its memory.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -108,6 +108,24 @@ class PieceModel:
         return not self.charsmap and not self.squeeze and self.dummy_prefix and not any(MARK in p.lstrip(MARK) for p, _, _ in self.pieces)
 
 
+class Memory(dict):
+    """Remembers up to `limit` short entries. When it is full it stays as it is, since what comes often came early; after four times as many new
+    entries it starts afresh, in case the texts have changed."""
+
+    def __init__(self, limit: int = REMEMBERED):
+        super().__init__()
+        self.limit, self.passed = limit, 0
+
+    def add(self, new: dict) -> None:
+        if len(self) < self.limit:
+            self.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
+        else:
+            self.passed += len(new)
+            if self.passed > 4 * self.limit:
+                self.clear()
+                self.passed = 0
+
+
 class PieceCodec:
     """Encodes by the rebuilt tokenizer and holds every distinct chunk against the SentencePiece library."""
 

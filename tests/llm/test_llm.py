@@ -368,12 +368,34 @@ def test_unigram_backend():
     assert model.tokenizer().encode("ab  a", add_special_tokens=False).tokens == ["▁ab", "▁a"]
 
 
-def test_chunk_encoder_is_exact():
-    code = tokens.ChunkEncoder(tokens.public_tokenizer(), limit=3)
-    cases = ["", " ", "a", "it's we'll 's", "x\n y", "x \n", "don't  stop", "α β γδ", "tab\tq\n\nz 12ab !!?", "日本 語", "a  b", "x×y ÷ ɏ", "<|endoftext|> z"]
-    for _ in range(3):
-        for text, ids in zip(cases, code.encode(cases), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids, text
+def test_encoder_gives_the_librarys_ids():
+    code = tokens.BpeEncoder(tokens.public_tokenizer())
+    assert code.fast is not None
+    cases = ["", " ", "a", "it's we'll 's", "x\n y", "x \n", "don't  stop", "α β γδ", "tab\tq\n\nz 12ab !!?", "日本 語", "a  b", "x×y ÷ ɏ", "<|endoftext|> z", "😀 \u200b\u180e ok\x1cno", "𐒰 \U0001e900", "a" * 70_000, " " * 60_000 + "x", "\n" * 49_000 + "q"]
+    for text, ids in zip(cases, code.encode(cases), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids, text[:20]
+    assert not code.settled("𐒰") and not code.settled("a\u200bb") and not code.settled(" " * 60_000)
+    settled = [chr(c) for c in [*range(0x10000), *range(0x1F000, 0x1FB00)] if not 0xD800 <= c < 0xE000 and not code.unsettled.search(chr(c))]
+    every = [f"a{c}1{c} {c}{c} b {c}\n{c}" for c in settled]
+    assert len(every) > 50_000 and code.encode(every) == code.exact(every)
+
+
+@tables
+def test_encoder_on_the_documents(spark):
+    code = tokens.BpeEncoder(tokens.public_tokenizer())
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    assert code.encode(texts) == code.exact(texts)
+
+
+def test_packing_keeps_wide_ids(spark, tmp_path):
+    import json
+
+    vocab = {"<unk>": 0} | {f"w{k}": k for k in range(1, 70_001)}
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": vocab, "unk_token": "<unk>"}}))
+    docs = spark.createDataFrame([(1, "w5 w70000 w65536", "s")], "doc_id bigint, text string, source string")
+    got = rows(packing.pack(docs, tokenizer=str(path)))
+    assert [i for r in sorted(got, key=lambda r: r["start"]) for i in r["ids"]] == [5, 70_000, 65_536, 0]
 
 
 def edits(a, b):
