@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK, WordHashes, materialise, mix
+from .common import Scratch, materialise, mix, word_hashes
 
 NGRAM = 5
 #: N-grams that stand last in the global order: the most frequent ones, at most so many (12 bytes each in a broadcast).
@@ -18,44 +18,65 @@ FREQUENT = 1 << 20
 COUNTED = 2_000_000
 #: Fragments after the first that the order is cut into for whole overlaps.
 FRAGMENTS = 4
-#: Tasks that a frequent n-gram's rows are spread over.
-SPREAD = 64
-#: Comparisons are made with one leader of each group until comparing the rest costs at most so many pairs a row, or for so many rounds.
-PAIRS_A_ROW, STAR_ROUNDS = 3, 3
-#: Bits of the filter that picks the documents whose n-grams are needed whole, at most.
+#: Tasks that a frequent n-gram's rows are spread over: where they are dealt, and where they are joined with a row for each n-gram.
+SPREAD, JOIN_SPREAD = 64, 16
+#: Comparisons are made with leaders of each group, in round t with 2^t of them, until comparing the rest costs at most so many pairs a row.
+PAIRS_A_ROW = 3
+#: Bits of the filter that picks the documents whose n-grams are needed whole, 16 for each; where it would need more, documents are picked by a join.
 FILTER_BITS = 1 << 27
+#: Texts that a worker holds at a time, and names of sets that it remembers.
+SLICE, SEEN = 256, 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 HOT = np.uint64(1)
 
 
-class Shingler:
-    """Sorted different 63-bit n-gram hashes of a text; the lowest bit stays free."""
+class Shingles:
+    """Sorted different 63-bit n-gram hashes of some texts, one text's after the other; the lowest bit stays free. Text k's are grams[at[k] : at[k + 1]]."""
 
-    def __init__(self):
-        self.words = WordHashes(seed=5)
-
-    def of(self, text: str | None) -> np.ndarray:
-        found = (text or "").encode("utf-8", "replace").lower().split()
-        if not found:
-            return np.zeros(0, np.uint64)
-        w = self.words.of(found)
-        k = min(NGRAM, len(w))
-        h = w[: len(w) - k + 1].copy()
-        for i in range(1, k):
-            h = h * STEP + w[i : len(w) - k + 1 + i]
+    def __init__(self, texts: list[str | None]):
+        w, at = word_hashes([(x or "").encode("utf-8", "replace").lower() for x in texts])
+        n = np.diff(at)
+        size = np.where(n >= NGRAM, n - NGRAM + 1, np.minimum(n, 1))
+        h = np.zeros(len(w), np.uint64)
+        if len(w) >= NGRAM:
+            h[: len(w) - NGRAM + 1] = w[: len(w) - NGRAM + 1]
+            for i in range(1, NGRAM):
+                h[: len(w) - NGRAM + 1] = h[: len(w) - NGRAM + 1] * STEP + w[i : len(w) - NGRAM + 1 + i]
+        h += np.uint64(NGRAM)
         # a shorter text is one n-gram of its own kind
-        h = mix(h + np.uint64(k)) & ~HOT
-        h.sort()
-        return h[np.append(True, h[1:] != h[:-1])]
-
-
-def set_key(grams: np.ndarray) -> int:
-    """A 64-bit name of a set of n-grams, signed; equal sets have equal names."""
-    if not len(grams):
-        return 0
-    total = int(mix(grams + STEP).sum(dtype=np.uint64))
-    value = int(mix(np.array([(total ^ len(grams) * 0xD6E8FEB86659FD93) & MASK], np.uint64))[0])
-    return (value or 1) - (1 << 64 if value >= 1 << 63 else 0)
+        for k in np.flatnonzero((n > 0) & (n < NGRAM)):
+            value = w[at[k] : at[k] + 1].copy()
+            for x in w[at[k] + 1 : at[k + 1]]:
+                value = value * STEP + x
+            h[at[k]] = value[0] + np.uint64(n[k])
+        ends = np.cumsum(size)
+        own = mix(h[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[:-1] - (ends - size), size)]) & ~HOT
+        bounds = np.append(0, ends)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own[a:b].sort()
+        new = np.ones(len(own), bool)
+        new[1:] = own[1:] != own[:-1]
+        new[bounds[:-1][size > 0]] = True
+        self.grams = own[new]
+        self.at = np.append(0, np.cumsum(new))[bounds]
+        self.sizes = np.diff(self.at)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.grams[self.at[k] : self.at[k + 1]]
+
+    def keys(self) -> np.ndarray:
+        """A signed 64-bit name of each set; equal sets have equal names, and the empty set's is 0."""
+        sums = np.append(np.uint64(0), np.cumsum(mix(self.grams + STEP)))
+        total = sums[self.at[1:]] - sums[self.at[:-1]]
+        value = mix(total ^ (self.sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        return np.where(self.sizes == 0, np.uint64(0), np.maximum(value, np.uint64(1))).view(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Shingles]]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            part = batch.slice(begin, SLICE)
+            yield part, Shingles(part["text"].to_pylist())
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -64,57 +85,63 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: (doc_id, set key, n). kind 1: (null, n-gram, documents that have it), where two or more of those counted together do."""
-    shingler, held, size = Shingler(), [], 0
+    held, size = [], 0
 
     def frequent() -> pa.RecordBatch:
-        gram, n = np.unique(np.concatenate(held), return_counts=True)
-        gram, n = gram[n > 1], n[n > 1]
+        gram = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+        n = np.diff(np.append(first, len(gram)))
+        gram, n = gram[first[n > 1]], n[n > 1]
         return pa.RecordBatch.from_arrays([pa.nulls(len(gram), pa.int64()), _signed(gram), pa.array(n), pa.array(np.ones(len(gram), np.int32))], names=["doc_id", "key", "n", "kind"])
 
-    for batch in batches:
-        keys, sizes = [], []
-        for text in batch["text"].to_pylist():
-            grams = shingler.of(text)
-            keys.append(set_key(grams))
-            sizes.append(len(grams))
-            held.append(grams)
-            size += len(grams)
-            if size >= COUNTED:
-                yield frequent()
-                held, size = [], 0
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.zeros(len(keys), np.int32))], names=["doc_id", "key", "n", "kind"])
+    for part, sets in _slices(batches):
+        held.append(sets.grams)
+        size += len(sets.grams)
+        yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(sets.keys()), pa.array(sets.sizes), pa.array(np.zeros(part.num_rows, np.int32))], names=["doc_id", "key", "n", "kind"])
+        if size >= COUNTED:
+            yield frequent()
+            held, size = [], 0
     if held:
         yield frequent()
 
 
 def _prefixes(frequent):
     """(n-gram, set key) of each different set's prefix: its first n // 4 + 1 n-grams in the global order. Two sets of a similarity
-    of 3/4 or more share one of these. The lowest bit of an n-gram says that it is frequent."""
+    of 3/4 or more share one of these. The lowest bit of an n-gram says that it is frequent. A set that a task meets again is passed
+    over while its memory of SEEN names lasts; what comes twice is told apart later anyway."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = frequent.value
-        shingler, seen = Shingler(), set()
-        for batch in batches:
-            grams, keys, sizes = [], [], []
-            for text in batch["text"].to_pylist():
-                own = shingler.of(text)
-                key = set_key(own)
-                if not len(own) or key in seen:
+        # most n-grams are told to be rare by their first bits
+        maybe = np.zeros(1 << 22, bool)
+        maybe[known >> np.uint64(42)] = True
+        seen: set[int] = set()
+        for _, sets in _slices(batches):
+            keys, found = [], []
+            hot = maybe[sets.grams >> np.uint64(42)]
+            where = np.flatnonzero(hot)
+            at = np.minimum(np.searchsorted(known, sets.grams[where]), max(len(known) - 1, 0))
+            if len(where):
+                same = known[at] == sets.grams[where]
+                hot[where[~same]] = False
+                where, at = where[same], at[same]
+            bounds = np.searchsorted(where, sets.at)
+            for k, key in enumerate(sets.keys().tolist()):
+                if not sets.sizes[k] or key in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
-                take = len(own) // 4 + 1
-                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                hot = known[at] == own if len(known) else np.zeros(len(own), bool)
-                rare = own[~hot][:take]
-                if len(rare) < take:
-                    late = at[hot]
-                    late = late[np.argsort(rank[late], kind="stable")][: take - len(rare)]
-                    rare = np.concatenate([rare, known[late] | HOT])
-                grams.append(rare)
+                take = int(sets.sizes[k]) // 4 + 1
+                own = sets.of(k)[~hot[sets.at[k] : sets.at[k + 1]]][:take]
+                if len(own) < take:
+                    late = at[bounds[k] : bounds[k + 1]]
+                    late = late[np.argsort(rank[late], kind="stable")][: take - len(own)]
+                    own = np.concatenate([own, known[late] | HOT])
                 keys.append(key)
-                sizes.append(len(rare))
-            if grams:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(grams)), pa.array(np.repeat(np.array(keys, np.int64), sizes))], names=["gram", "key"])
+                found.append(own)
+            if found:
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in found]))], names=["gram", "key"])
 
     return run
 
@@ -146,49 +173,58 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _fragments(wanted):
-    """(key, fragment, n-grams) of the documents in the filter, the n-grams cut by ranges of their hash."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fragment, n-grams) of texts, the n-grams cut by ranges of their hash."""
+    ranges = np.array([((f + 1) << 64) // FRAGMENTS for f in range(FRAGMENTS - 1)], np.uint64)
+    for _, sets in _slices(batches):
+        keys, fragments, grams = [], [], []
+        names = sets.keys().tolist()
+        for k in np.flatnonzero(sets.sizes).tolist():
+            own = sets.of(k)
+            keys += [names[k]] * FRAGMENTS
+            fragments += range(FRAGMENTS)
+            grams += [x.view(np.int64) for x in np.split(own, np.searchsorted(own, ranges))]
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["key", "fragment", "grams"])
+
+
+def _picked(wanted):
+    """_cut() of the documents in the filter; those without an id are all in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, shingler = wanted.value, Shingler()
-        for batch in batches:
-            slot = batch["slot"].to_numpy(zero_copy_only=False)
-            there = np.isnan(slot) if slot.dtype.kind == "f" else np.zeros(len(slot), bool)
-            at = np.where(there, 0, slot).astype(np.int64)
-            chosen = np.flatnonzero(there | ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            for begin in range(0, len(chosen), 256):
-                keys, fragments, grams = [], [], []
-                for text in batch["text"].take(pa.array(chosen[begin : begin + 256])).to_pylist():
-                    own = shingler.of(text)
-                    if not len(own):
-                        continue
-                    cuts = np.searchsorted(own, [((f + 1) << 64) // FRAGMENTS for f in range(FRAGMENTS - 1)])
-                    keys += [set_key(own)] * FRAGMENTS
-                    fragments += range(FRAGMENTS)
-                    grams += [x.view(np.int64) for x in np.split(own, cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["key", "fragment", "grams"])
+        bits = wanted.value
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slot = batch["slot"].to_numpy(zero_copy_only=False)
+                there = np.isnan(slot) if slot.dtype.kind == "f" else np.zeros(len(slot), bool)
+                at = np.where(there, 0, slot).astype(np.int64)
+                yield batch.select(["text"]).take(pa.array(np.flatnonzero(there | ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))))
+
+        yield from _cut(chosen())
 
     return run
 
 
-def _components(edges: DataFrame) -> DataFrame:
+def _components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of an edge table (u, v): every node takes its smallest neighbour's name, edges follow, until none is left.
 
-    Names are hashes, so a round removes a fixed part of the nodes whatever the graph's shape.
+    Names are hashes, so a round removes a fixed part of the nodes whatever the graph's shape. A hub's edges are summed in parts before they meet, and its
+    side of a join is one that Spark splits, as the other has a row for each node.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    step = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "component-step")
-    roots = step.select(F.col("u").alias("node"), F.col("p").alias("root"))
+    roots = None
     while True:
-        names = step.select(F.col("u").alias("from"), "p")
-        moved = edges.join(names.withColumnRenamed("from", "u").withColumnRenamed("p", "pu"), "u").join(names.withColumnRenamed("from", "v").withColumnRenamed("p", "pv"), "v")
-        edges = materialise(moved.filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "component-edges")
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        step = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "component-step")
+        if roots is None:
+            roots = step.select(F.col("u").alias("node"), F.col("p").alias("root"))
+        else:
+            names = step.select(F.col("u").alias("root"), F.col("p").alias("next"))
+            roots = scratch.keep(roots.join(names, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "component-roots")
+        moved = edges.join(step.select("u", F.col("p").alias("pu")), "u").join(step.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+        edges = scratch.keep(moved.filter("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "component-edges")
         if edges.isEmpty():
             return roots
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "component-step")
-        names = step.select(F.col("u").alias("root"), F.col("p").alias("next"))
-        roots = materialise(roots.join(names, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "component-roots")
 
 
 def _needed(na: Column, nb: Column) -> Column:
@@ -201,6 +237,14 @@ def _wanting(na: Column, nb: Column) -> Column:
     return _needed(na, nb) - F.greatest(na - F.floor(na / 4) - 1, nb - F.floor(nb / 4) - 1)
 
 
+def _with_gram(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows (gram, key, ...) joined with table (gram, ...) on the n-gram; a frequent n-gram's rows are dealt over JOIN_SPREAD tasks, to each of which its row of the table goes."""
+    hot = F.col("gram").bitwiseAND(F.lit(1)) == 1
+    left = rows.withColumn("part", F.when(hot, F.pmod("key", F.lit(JOIN_SPREAD))).otherwise(F.lit(0)).cast("int"))
+    right = table.withColumn("part", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(JOIN_SPREAD - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, ["gram", "part"]).drop("part")
+
+
 def _viable(rows: DataFrame) -> DataFrame:
     """Of rows (gram, key, n) those that can be part of a link: with the sizes that its group has, a set must share enough of its prefix with any others at all.
 
@@ -210,10 +254,10 @@ def _viable(rows: DataFrame) -> DataFrame:
     size = rows.groupBy("gram").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k")).filter("k > 1")
     n = F.col("n")
     least = F.least(_wanting(n, F.greatest("lo", F.ceil(n * 3 / 4))), _wanting(n, F.least("hi", F.floor(n * 4 / 3))))
-    return rows.join(count, "key").join(size, "gram").filter(F.col("c") + 2 >= least).select("gram", "key", "n")
+    return _with_gram(rows.join(count, "key"), size).filter(F.col("c") + 2 >= least).select("gram", "key", "n")
 
 
-def _linked(pairs: DataFrame, first: DataFrame, fragments_of) -> DataFrame:
+def _linked(pairs: DataFrame, first: DataFrame, fragments_of, scratch: Scratch) -> DataFrame:
     """The pairs (a, b, na, nb) with a similarity of 3/4 or more.
 
     The order's first fragment of a pair is the two prefixes: where these share c n-grams, the sets share at most c plus what
@@ -225,7 +269,7 @@ def _linked(pairs: DataFrame, first: DataFrame, fragments_of) -> DataFrame:
     b = first.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
     hopeful = pairs.join(a, "a").join(b, "b").filter(shared >= _wanting(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
-    hopeful = materialise(hopeful, "join-hopeful")
+    hopeful = scratch.keep(hopeful, "join-hopeful")
     fragments = fragments_of(hopeful.select(F.col("a").alias("key")).union(hopeful.select("b")).distinct())
     fa = fragments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
     fb = fragments.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
@@ -240,18 +284,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     Two documents link when the sets of their different word 5-grams have a Jaccard similarity of 3/4 or more; a text of
     fewer words is one n-gram, and a text without words (null, empty) links with nothing and is its own component. Words are runs other than blanks
     and ASCII controls from tab to carriage return, with A-Z in lower case. Null ids take part and get their component's smallest id (null if none).
-    Repeated rows link. An empty table gives no rows. Other columns are ignored.
+    Repeated rows link. Texts of any length count whole. An empty table gives no rows. Other columns, whatever their names, are ignored.
 
     Documents with equal sets are one class from the start, named by a 64-bit hash of the set. The global order has rare n-grams
     first: by hash, then the most frequent ones by count (any order is exact; this one keeps groups small). Each
     class sends its prefix, sorted by n-gram in one shuffle. Groups of classes that share an n-gram are then not paired off: a round compares all with
-    one leader, links contract classes to components, and only classes outside a group's largest component
+    a few leaders of each group, links contract classes to components, and only classes outside a group's largest component
     are compared with the rest. A pair inside one component needs no comparison, so no link between components is lost.
+    The result is written to the shared folder; all other tables of the job are removed.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch()
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    survey = materialise(rows.mapInArrow(_survey, "doc_id long, key long, n long, kind int"), "join-survey")
+    survey = scratch.keep(rows.mapInArrow(_survey, "doc_id long, key long, n long, kind int"), "join-survey")
     members = survey.filter("kind = 0").select("doc_id", "key", "n")
     counts = survey.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     gram, n = counts["key"].to_numpy().astype(np.int64).view(np.uint64), counts["n"].to_numpy()
@@ -263,78 +308,94 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spread = F.when(F.col("gram").bitwiseAND(F.lit(1)) == 1, F.pmod("key", F.lit(SPREAD))).otherwise(F.lit(0))
     prefixes = rows.select("text").mapInArrow(_prefixes(frequent), "gram long, key long")
     dealt = prefixes.repartition(int(parts), "gram", spread).sortWithinPartitions("gram", "key")
-    shared = materialise(dealt.mapInArrow(_shared, "gram long, key long"), "join-shared")
+    early = Scratch()
+    shared = early.keep(dealt.mapInArrow(_shared, "gram long, key long"), "join-shared")
+    frequent.destroy()
 
     classes = members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    groups = materialise(_viable(_viable(shared.join(classes.select("key", "n"), "key"))), "join-groups")
+    groups = early.keep(_viable(_viable(shared.join(classes.select("key", "n"), "key"))), "join-groups")
     # the cleanest set has the largest part of its prefix in common with others
     clean = (F.col("c") * 1_000_000 / (F.floor(F.col("n") / 4) + 1)).cast("long")
     involved = groups.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.collect_set("gram").alias("grams")).join(classes.select("key", "id"), "key")
-    involved = materialise(involved.select("key", "id", "n", "c", clean.alias("clean"), "grams"), "join-involved")
+    involved = scratch.keep(involved.select("key", "id", "n", "c", clean.alias("clean"), "grams"), "join-involved")
     first = involved.select("key", "grams")
 
-    def fragments_of(keys: DataFrame) -> DataFrame:
-        """One pass over the documents, in which a bit filter of a fixed size picks those whose n-grams are needed whole."""
-        ids = materialise(involved.select("key", "id").join(keys, "key", "left_semi"), "join-wanted")
-        bits = min(FILTER_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+    def fragments_of(keys: DataFrame, own: Scratch) -> DataFrame:
+        """One pass over the documents, in which a bit filter of a fixed size picks those whose n-grams are needed whole; too many for it are joined by their ids."""
+        ids = own.keep(involved.select("key", "id").join(keys, "key", "left_semi").select("id"), "join-wanted")
+        counted = ids.agg(F.count("*").alias("all"), F.count("id").alias("named")).first()
+        wanted_rows = rows if counted["named"] < counted["all"] else rows.filter("doc_id is not null")
+        if 16 * counted["all"] > FILTER_BITS:
+            same = wanted_rows["doc_id"].eqNullSafe(ids["id"])
+            return own.keep(wanted_rows.join(ids, same, "left_semi").select("text").mapInArrow(_cut, "key long, fragment int, grams array<long>"), "join-fragments")
+        bits = 1 << max(10, (16 * counted["all"]).bit_length())
         slot = F.pmod(F.xxhash64("id"), F.lit(bits))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
         words = ids.filter("id is not null").select((slot / 64).cast("long").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         bitmap = np.zeros(bits // 64, np.uint64)
         bitmap[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(bitmap)
-        picked = rows.select("text", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))).alias("slot"))
-        return materialise(picked.mapInArrow(_fragments(wanted), "key long, fragment int, grams array<long>"), "join-fragments")
+        picked = wanted_rows.select("text", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))).alias("slot"))
+        out = own.keep(picked.mapInArrow(_picked(wanted), "key long, fragment int, grams array<long>"), "join-fragments")
+        wanted.destroy()
+        return out
 
-    groups = materialise(groups.select("gram", "key").join(involved.select("key", "n", "c", "clean"), "key"), "join-rows")
+    groups = scratch.keep(groups.select("gram", "key").join(involved.select("key", "n", "c", "clean"), "key"), "join-rows")
+    early.clear()
     labels = involved.select("key", F.col("key").alias("component"))
     total = groups.count()
-    for turn in range(STAR_ROUNDS + 1):
-        now = groups.join(labels, "key") if turn else groups.withColumn("component", F.col("key"))
-        parts_of = now.groupBy("gram", "component").agg(F.count("*").alias("size"), F.max(F.struct("clean", "key", "n", "c")).alias("lead"))
-        largest = F.max(F.struct("size", "component"))
-        split = parts_of.groupBy("gram").agg(F.sum("size").alias("all"), F.count("*").alias("k"), largest.alias("big"), F.max(F.struct("lead", "component")).alias("best"))
-        split = split.filter("k > 1")
-        # in later rounds the leader is the cleanest outside the largest component
-        if turn:
-            outer = parts_of.join(split.select("gram", "big"), "gram").filter("component <> big.component").groupBy("gram").agg(F.max(F.struct("lead", "component")).alias("best"))
-            split = split.drop("best").join(outer, "gram")
-        split = materialise(split.select("gram", "all", F.col("big.size").alias("most"), F.col("big.component").alias("big"), F.col("best.lead.key").alias("leader"), F.col("best.lead.n").alias("nl"), F.col("best.lead.c").alias("cl"), F.col("best.component").alias("lc")), "join-split")
+    leaders = 1
+    while True:
+        own = Scratch()
+        now = groups.join(labels, "key") if leaders > 1 else groups.withColumn("component", F.col("key"))
+        split = now.groupBy("gram", "component").agg(F.count("*").alias("size")).groupBy("gram")
+        split = split.agg(F.sum("size").alias("all"), F.count("*").alias("k"), F.max(F.struct("size", "component")).alias("big")).filter("k > 1")
+        split = own.keep(split.select("gram", "all", F.col("big.size").alias("most"), F.col("big.component").alias("big")), "join-split")
         work = split.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("w")).first()["w"]
         if work is None:
+            own.clear()
             break
-        exact = work <= PAIRS_A_ROW * total or turn == STAR_ROUNDS
+        exact = work <= PAIRS_A_ROW * total
+        # in later rounds leaders are the cleanest outside the largest component, one of each of as many parts
+        outside = now if leaders == 1 else _with_gram(now, split.select("gram", "big")).filter("component <> big")
         if exact:
-            outside = now.join(split.select("gram", "big"), "gram").filter("component <> big").select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("c").alias("sx"), F.col("component").alias("cx"))
-            pairs = outside.join(now.join(split.select("gram"), "gram", "left_semi"), "gram").filter("cx <> component")
+            lead = _with_gram(now, split.select("gram", "big")).filter("component <> big")
         else:
-            pairs = now.join(split.select("gram", F.col("leader").alias("x"), F.col("nl").alias("nx"), F.col("cl").alias("sx"), F.col("lc").alias("cx")), "gram").filter("cx <> component")
+            dealt = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
+            lead = outside.groupBy("gram", dealt.alias("dealt")).agg(F.max(F.struct("clean", "key", "n", "c", "component")).alias("lead"))
+            lead = own.keep(lead.join(split.select("gram"), "gram", "left_semi").select("gram", "lead.key", "lead.n", "lead.c", "lead.component"), "join-leaders")
+        lead = lead.select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("c").alias("sx"), F.col("component").alias("cx"))
+        pairs = (now.join(lead, "gram") if exact else _with_gram(now, lead)).filter("cx <> component")
         pairs = pairs.filter("4 * least(n, nx) >= 3 * greatest(n, nx)").filter(F.least("c", "sx") >= _wanting(F.col("n"), F.col("nx")))
         lower = F.col("key") < F.col("x")
         pairs = pairs.select(F.least("key", "x").alias("a"), F.greatest("key", "x").alias("b"), F.when(lower, F.col("n")).otherwise(F.col("nx")).alias("na"), F.when(lower, F.col("nx")).otherwise(F.col("n")).alias("nb")).distinct()
-        links = materialise(_linked(pairs, first, fragments_of), "join-links")
+        links = own.keep(_linked(pairs, first, lambda keys, own=own: fragments_of(keys, own), own), "join-links")
         if not links.isEmpty():
             u = labels.select(F.col("key").alias("u"), F.col("component").alias("cu"))
             v = labels.select(F.col("key").alias("v"), F.col("component").alias("cv"))
             edges = links.join(u, "u").join(v, "v").filter("cu <> cv").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct()
-            roots = _components(materialise(edges, "join-edges"))
-            labels = materialise(labels.join(roots, labels["component"] == roots["node"], "left").select("key", F.coalesce("root", "component").alias("component")), "join-labels")
+            roots = _components(own.keep(edges, "join-edges"), own)
+            labels = scratch.keep(labels.join(roots, labels["component"] == roots["node"], "left").select("key", F.coalesce("root", "component").alias("component")), "join-labels")
         if exact:
+            own.clear()
             break
-        # a leader is done with its groups, and so are groups within one component or of two
-        open_groups = split.filter("all > 2").select("gram", "leader")
-        rest = materialise(groups.join(open_groups, "gram").filter("key <> leader").drop("leader", "c"), "join-rest")
-        able = materialise(_viable(rest.select("gram", "key", "n")).select("gram", "key"), "join-able")
+        # leaders are done with their groups, and so are groups within one component or of two
+        rest = own.keep(groups.join(split.filter("all > 2").select("gram"), "gram", "left_semi").join(lead.select("gram", F.col("x").alias("key")), ["gram", "key"], "left_anti").drop("c"), "join-rest")
+        able = own.keep(_viable(rest.select("gram", "key", "n")).select("gram", "key"), "join-able")
         # what a set shares is counted anew: the n-grams that an uncompared pair shares are all in open groups
         counts = able.groupBy("key").agg(F.count("*").alias("c"))
-        groups = materialise(rest.join(able, ["gram", "key"]).join(counts, "key"), "join-rows")
+        groups = scratch.keep(rest.join(able, ["gram", "key"]).join(counts, "key"), "join-rows")
+        own.clear()
+        leaders *= 2
 
     named = involved.select("key", "id").join(labels, "key")
     smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
     of_key = named.join(smallest, "component").select("key", "smallest")
     every = classes.select("key", "id").join(of_key, "key", "left").select("key", F.coalesce("smallest", "id").alias("smallest"))
     out = members.join(every, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")), "join-result")
+    scratch.clear()
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

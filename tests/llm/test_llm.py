@@ -89,11 +89,58 @@ def test_components(docs, empty):
 def test_components_by_rounds(docs, monkeypatch):
     items = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").filter("doc_id is not null").collect()]
     monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 0)
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 2)
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(ngram_join.jaccard_components(docs.filter("doc_id is not null")))]
     assert sorted(got) == sorted(brute_components(items))
 
 
+def test_components_by_joined_documents(docs, monkeypatch):
+    items = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 0)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(ngram_join.jaccard_components(docs))]
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(got, key=key) == sorted(brute_components(items), key=key)
+
+
+def test_components_of_a_common_passage(spark):
+    """Hundreds of sets share most of a passage and few of them link: several rounds of leaders."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(40)]
+    bodies = []
+    for k in range(150):
+        own = [f"b{k}x{j}" for j in range(rng.randint(6, 22))]
+        bodies.append(" ".join(passage[: rng.randint(30, 40)] + own))
+        if k % 3 == 0:
+            bodies.append(" ".join(passage + own[:6]))
+    items = list(enumerate(bodies))
+    got = ngram_join.jaccard_components(spark.createDataFrame(items, "doc_id bigint, text string").repartition(3))
+    want = brute_components(items)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len({c for _, _, c in want}) > 20
+
+
+def test_scratch_goes(docs, spark):
+    from lodeframe.llm.common import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    ngram_join.jaccard_components(docs).count()
+    assert [x.rsplit("-", 1)[0] for x in sorted(set(os.listdir(root)) - before)] == ["join-result"]
+
+
+def test_word_hashes():
+    from lodeframe.llm.common import word_hashes
+
+    rng = random.Random(2)
+    vocabulary = [bytes(rng.choices(b"abc\xc3\xa9", k=rng.randint(1, 7))) for _ in range(500)] + [b"q" * 512, b"q" * 513, b"y" * 300_000]
+    texts = [b"".join(rng.choice(vocabulary[:-1]) + rng.choice([b" ", b"\n", b"\t\x0b ", b"  "]) for _ in range(rng.randint(0, 300))) for _ in range(200)]
+    texts += [b"", b" ", b"x", b" ".join(rng.choices(vocabulary[:-1], k=60_000)), vocabulary[-1], vocabulary[-1] + b" a " + vocabulary[-1], b" " * 400_000, b"a" + b" " * 400_000 + b"a"]
+    found, at = word_hashes(texts)
+    known = {}
+    for k, text in enumerate(texts):
+        own = found[at[k] : at[k + 1]].tolist()
+        assert len(own) == len(text.split()) and all(known.setdefault(w, h) == h for w, h in zip(text.split(), own, strict=True))
+    assert len(set(known.values())) == len(known) and word_hashes([])[1].tolist() == [0]
+
+
 def test_drop_near_duplicates(docs):
     kept = rows(ngram_join.drop_near_duplicates(docs))
     found = brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
