@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that over a tenth of a source's documents contain go; n_chars is counted anew."""
-    out = drop_site_boilerplate(docs, host="source", max_ratio=0.1)
+    out = drop_site_boilerplate(docs, host="source", max_ratio=0.1, counts=None)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
