@@ -128,8 +128,13 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
+def utc_text(at: Column) -> Column:
+    """A timestamp as ISO-8601 text in UTC, whole seconds."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def utc_now() -> Column:
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return utc_text(F.current_timestamp())
 
 
 def json_safe(x: Column) -> Column:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MIN_QUALITY_SCORE
@@ -17,13 +16,12 @@ def quality_gate(df: DataFrame, reason: str = "selection_reason") -> DataFrame:
 def usable(df: DataFrame, scene: str, budget: int, valid: str = "valid", score: str = "score", minimum: float = MIN_QUALITY_SCORE, strict: bool = False) -> DataFrame:
     """Valid rows that score at least `minimum`; a scene with fewer than `budget` of them keeps all its valid rows, and with fewer of those is an error if strict."""
     good = F.col(valid) & (F.col(score) >= minimum)
-    per = Window.partitionBy(scene)
-    enough = F.sum(good.cast("int")).over(per) >= budget
-    rows = df.withColumn("__enough", enough).withColumn("__valid", F.sum(F.col(valid).cast("int")).over(per))
-    keep = F.when(F.col("__enough"), good).otherwise(F.col(valid))
+    counts = df.groupBy(scene).agg(F.count_if(good).alias("__good"), F.count_if(F.col(valid)).alias("__valid"))
+    rows = df.join(counts.withColumnRenamed(scene, "__scene"), F.col(scene).eqNullSafe(F.col("__scene")))
+    keep = F.when(F.col("__good") >= budget, good).otherwise(F.col(valid))
     if strict:
         keep = F.when(F.col("__valid") < budget, F.raise_error(F.lit("too few valid rows for the budget"))).otherwise(keep)
-    return rows.filter(keep).drop("__enough", "__valid")
+    return rows.filter(keep).select(*df.columns)
 
 
 def selection_summary(df: DataFrame, by: list[str] | None = None, reason: str = "selection_reason") -> DataFrame:
@@ -32,6 +30,21 @@ def selection_summary(df: DataFrame, by: list[str] | None = None, reason: str =
     return df.groupBy(*(by or [])).agg(F.count("*").alias("total"), *counts)
 
 
+def signal_counts(df: DataFrame, by: list[str] | None = None, blur: str = "blur_score", center: str | None = "camera_center", features: str | None = None) -> DataFrame:
+    """Rows, and rows that have each signal."""
+    signals = {"quality_signal_count": blur, "pose_signal_count": center, "feature_signal_count": features}
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("candidate_count"), *[F.count(c).alias(name) for name, c in signals.items() if c])
+
+
+def join_quality(poses: DataFrame, signals: DataFrame, keys: list[str], defaults: dict, observed: str = "num_observed_points") -> DataFrame:
+    """poses with their quality signals, or with `defaults` (by column) where they have none. Where feature_count is missing, the number of observed points stands in if it is positive."""
+    there = signals.select(*keys, *defaults, F.lit(True).alias("__there"))
+    out = poses.join(there, keys, "left").withColumns({c: F.when(F.col("__there"), F.col(c)).otherwise(F.lit(v)) for c, v in defaults.items()}).drop("__there")
+    if "feature_count" in defaults and observed in poses.columns:
+        out = out.withColumn("feature_count", F.coalesce("feature_count", F.when(F.col(observed) > 0, F.col(observed))))
+    return out
+
+
 def brightness_stats(pixels: Column, dark: float = 30, bright: float = 225) -> Column:
     """Struct of mean, share at or under the dark cutoff, share at or over the bright cutoff; null for no pixels."""
     n = F.size(pixels)
@@ -67,20 +80,3 @@ def image_statistics(bgr: np.ndarray, dark: int = 30, bright: int = 225) -> tupl
 
 
 STATISTICS = ["blur_score", "mean_brightness", "dark_pixel_ratio", "bright_pixel_ratio"]
-
-
-def decoded_statistics(dark: int = 30, bright: int = 225):
-    """A vectorised function of the image source's height, width, nChannels and data; null for undecodable images."""
-
-    @F.pandas_udf(", ".join(f"{c} double" for c in STATISTICS))
-    def run(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
-        out = []
-        for h, w, c, raw in zip(height, width, channels, data, strict=True):
-            if h is None or h <= 0 or raw is None:
-                out.append((None,) * 4)
-                continue
-            image = np.frombuffer(bytes(raw), np.uint8).reshape(h, w, c)
-            out.append(image_statistics(np.repeat(image, 3, 2) if c == 1 else image[..., :3], dark, bright))
-        return pd.DataFrame(out, columns=STATISTICS, dtype=float)
-
-    return run

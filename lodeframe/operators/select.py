@@ -84,6 +84,22 @@ def greedy_selection(candidates: DataFrame, scene: str, budget: int, minimum: fl
     return rows.groupBy(scene).applyInPandas(choose, f"{scene} {kinds[scene]}, name {kinds['name']}, order_index {kinds['order_index']}")
 
 
+#: The name that results give the selection (a fixed value).
+ALGORITHM = "quality_filtered_greedy_pose_coverage"
+
+
+def diagnostics(candidates: DataFrame, scene: str, budget: int, minimum: float = MIN_QUALITY_SCORE, weights: dict[str, float] | None = None) -> DataFrame:
+    """What greedy_selection has to choose from in each scene: algorithm, budget, candidates, usable ones, whether the quality filter holds, its minimum, the weights, and how many candidates have each signal."""
+    v = F.col("valid")
+    good = v & (quality_score(v, F.col("blur_score"), F.col("mean_brightness"), F.col("dark_pixel_ratio"), F.col("bright_pixel_ratio")) >= minimum)
+    enough = F.count_if(good) >= budget
+    shares = dict(zip(("pose_diversity", "image_quality", "feature_richness"), normalised_weights(weights), strict=True))
+    return candidates.groupBy(scene).agg(
+        F.lit(ALGORITHM).alias("algorithm"), F.lit(budget).cast("long").alias("budget"), F.count("*").alias("candidate_count"), F.when(enough, F.count_if(good)).otherwise(F.count_if(v)).alias("usable_candidate_count"), enough.alias("quality_filter_used"),
+        F.lit(float(minimum)).alias("min_quality_score"), F.create_map(*[x for k, w in shares.items() for x in (F.lit(k), F.lit(w))]).alias("weights"), F.count("blur_score").alias("quality_signal_count"), F.count("camera_center").alias("pose_signal_count"),
+    )
+
+
 def best_single(scored: DataFrame, scene: str, name: str = "name", score: str = "score", order: str = "order_index") -> DataFrame:
     """The best row of each scene, the first of equals: what a budget of 1 chooses."""
     return scored.groupBy(scene).agg(F.max_by(name, F.struct(F.col(score), -F.col(order))).alias(name))

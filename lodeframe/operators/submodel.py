@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import valid_point
-from .validation import enforce, missing
 
 
 @dataclass
@@ -32,27 +31,39 @@ def relink(points2d: DataFrame, surviving: DataFrame, point: str) -> DataFrame:
     return points2d.join(alive, point, "left").withColumn(point, F.when(F.col("__alive"), F.col(point)).otherwise(F.lit(-1))).drop("__alive")
 
 
+def used_cameras(cameras: DataFrame, images: DataFrame, camera: str = "camera_id") -> DataFrame:
+    """The cameras of some images."""
+    return cameras.join(images.select(camera).distinct(), camera, "left_semi")
+
+
+def named_images(images: DataFrame, names: DataFrame, name: str = "name") -> DataFrame:
+    """The images with these names; a name that no image has fails when the plan runs."""
+    wanted = names.select(F.col(name).alias("name")).distinct()
+    found = wanted.join(images.withColumn("__there", F.lit(True)), "name", "left")
+    unknown = F.raise_error(F.concat(F.lit("an image that the model lacks: "), F.coalesce("name", F.lit("null"))))
+    return found.filter(F.when(F.col("__there"), True).otherwise(unknown.cast("boolean"))).select(*images.columns)
+
+
 def filter_model(model: Model, names: DataFrame, min_track_length: int = 1, name: str = "name") -> Model:
     """The sub-model of the named images: poses and intrinsics as they are, tracks cut to these images, points with too short a track gone,
-    2D points kept with -1 where their point is gone. An empty request and unknown names are errors."""
-    wanted = names.select(F.col(name).alias("name")).distinct()
-    if wanted.isEmpty():
-        raise ValueError("no image is requested")
-    enforce(missing(wanted, model.images, ["name"]), "images that the model lacks")
-    images = model.images.join(wanted, "name", "left_semi")
+    2D points kept with -1 where their point is gone. Unknown names fail when the plan runs; no names give an empty model.
+
+    No action runs here. The 2D points and the tracks are exploded once each, with the columns that they are joined on.
+    """
+    images = named_images(model.images, names, name)
     ids = images.select("image_id")
-    entries = model.points.select("point3d_id", F.posexplode("track").alias("k", "e")).select("point3d_id", "k", F.col("e.image_id").alias("image_id"), F.col("e.point2d_idx").alias("point2d_idx"))
-    kept = entries.join(ids, "image_id", "left_semi").groupBy("point3d_id").agg(F.array_sort(F.collect_list(F.struct("k", "image_id", "point2d_idx"))).alias("t"))
-    kept = kept.filter(F.size("t") >= min_track_length).select("point3d_id", F.transform("t", lambda e: F.struct(e["image_id"].alias("image_id"), e["point2d_idx"].alias("point2d_idx"))).alias("track"))
+    entry = F.struct("k", "e.image_id", "e.point2d_idx")
+    kept = model.points.select("point3d_id", F.posexplode("track").alias("k", "e")).withColumn("image_id", F.col("e.image_id")).join(ids, "image_id", "left_semi")
+    kept = kept.groupBy("point3d_id").agg(F.array_sort(F.collect_list(entry)).alias("t")).filter(F.size("t") >= min_track_length)
+    kept = kept.select("point3d_id", F.transform("t", lambda e: F.struct(e["image_id"].alias("image_id"), e["point2d_idx"].alias("point2d_idx"))).alias("track"))
     points = model.points.drop("track").join(kept, "point3d_id")
-    flat = images.select("image_id", F.posexplode("points2d").alias("k", "p")).select("image_id", "k", F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("p.point3d_id").alias("point3d_id"))
-    linked = relink(flat, kept, "point3d_id").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y", "point3d_id"))).alias("t"))
-    linked = linked.select("image_id", F.transform("t", lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"), e["point3d_id"].alias("point3d_id"))).alias("points2d"))
+    # only the places whose point is gone are joined back
+    linked = images.select("image_id", F.explode(F.array_distinct(F.transform("points2d", lambda p: p["point3d_id"]))).alias("point3d_id"))
+    alive = linked.join(kept.select("point3d_id"), "point3d_id", "left_semi").groupBy("image_id").agg(F.collect_list("point3d_id").alias("alive"))
     columns = model.images.columns
-    empty = F.array().cast(dict(model.images.dtypes)["points2d"])
-    images = images.drop("points2d").join(linked, "image_id", "left").withColumn("points2d", F.coalesce("points2d", empty)).select(*columns)
-    cameras = model.cameras.join(images.select("camera_id").distinct(), "camera_id", "left_semi")
-    return Model(cameras, images, points.select(*model.points.columns))
+    cut = F.transform("points2d", lambda p: F.when(F.array_contains(F.coalesce("alive", F.array().cast("array<bigint>")), p["point3d_id"]), p).otherwise(F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(-1).cast("long").alias("point3d_id"))))
+    images = images.join(alive, "image_id", "left").withColumn("points2d", cut).select(*columns)
+    return Model(used_cameras(model.cameras, images), images, points.select(*model.points.columns))
 
 
 def model_summary(model: Model, total_images: int | None = None) -> DataFrame:

@@ -35,6 +35,16 @@ def missing(requested: DataFrame, found: DataFrame, keys: list[str]) -> DataFram
     return requested.select(*keys).distinct().join(found.select(*keys), keys, "left_anti")
 
 
+def latest_paths(files: DataFrame, base: str, path: str) -> DataFrame:
+    """(base, path): of files with the same base name the path that sorts last."""
+    return files.groupBy(base).agg(F.max(path).alias(path))
+
+
+def source_files(names: DataFrame, files: DataFrame, name: str = "name", base: str = "base", path: str = "path") -> DataFrame:
+    """names with the path of each one's file; null where there is none."""
+    return names.join(latest_paths(files, base, path).withColumnRenamed(base, name), name, "left")
+
+
 def manifest_violations(manifests: DataFrame) -> DataFrame:
     """(experiment_name, rule) of manifests whose counts, lists or keys are wrong."""
     train, test = F.col("training_images"), F.col("test_images")

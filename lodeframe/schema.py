@@ -28,6 +28,11 @@ def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def names(ddl: str) -> list[str]:
+    """Column names of a schema of plain columns, without a session."""
+    return [x.split()[0] for x in ddl.split(", ")]
+
+
 #: Camera models by id with their parameter counts.
 CAMERA_MODELS = (
     ("SIMPLE_PINHOLE", 3),
@@ -42,6 +47,7 @@ CAMERA_MODELS = (
     ("RADIAL_FISHEYE", 5),
     ("THIN_PRISM_FISHEYE", 12),
 )
+#: Image suffixes, reasons of a quality class, states of a result, selection weights, the least usable score, the id of no point.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff")
 REASONS = ("invalid_image", "blur", "underexposed", "overexposed", "redundant", "selected")
 STATUSES = ("not_run", "success", "failed")
