@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import copy
+import importlib.util
+import math
 import os
+import re
+from collections.abc import Iterator
 from typing import Any
 
 
@@ -11,23 +15,20 @@ class ConfigError(ValueError):
     """A configuration that breaks a rule."""
 
 
+#: Words for no value and for truth (fixed values), and plain numbers; anything else is text.
+WORDS = {x: None for x in ("", "~", "null", "Null", "NULL")} | {x: True for x in ("true", "True", "TRUE")} | {x: False for x in ("false", "False", "FALSE")}
+WHOLE, DECIMAL = re.compile(r"[+-]?[0-9]+"), re.compile(r"[+-]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+
+
 def _scalar(text: str) -> Any:
     text = text.strip()
-    if text.startswith("[") and text.endswith("]"):
-        inner = text[1:-1].strip()
-        return [_scalar(x) for x in inner.split(",")] if inner else []
+    if text in WORDS:
+        return WORDS[text]
+    if text[0] == "[" and text[-1] == "]":
+        return [_scalar(x) for x in text[1:-1].split(",")] if text[1:-1].strip() else []
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
         return text[1:-1]
-    if text.lower() in ("null", "none", "~", ""):
-        return None
-    if text.lower() in ("true", "false"):
-        return text.lower() == "true"
-    for kind in (int, float):
-        try:
-            return kind(text)
-        except ValueError:
-            continue
-    return text
+    return int(text) if WHOLE.fullmatch(text) else float(text) if DECIMAL.fullmatch(text) else text
 
 
 def _uncommented(line: str) -> str:
@@ -42,29 +43,40 @@ def _uncommented(line: str) -> str:
     return line.rstrip()
 
 
-def parse_yaml(text: str) -> dict:
-    """Nested maps, scalars, inline lists and comments; tabs in the indentation are an error."""
-    root: dict = {}
-    open_maps: list[tuple[int, dict]] = [(-1, root)]
+def _entries(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(line, indent, key, value) of each line that says something."""
     for number, raw in enumerate(text.splitlines(), 1):
         line = _uncommented(raw)
-        if not line.strip():
+        bare = line.lstrip()
+        if not bare:
             continue
-        indent = len(line) - len(line.lstrip())
-        if "\t" in line[:indent]:
+        if "\t" in line[: len(line) - len(bare)]:
             raise ConfigError(f"line {number}: tabs can't indent")
-        key, colon, value = line.strip().partition(":")
-        if not colon:
+        key, colon, value = bare.partition(":")
+        if not colon or not key.strip():
             raise ConfigError(f"line {number}: no key")
-        while open_maps[-1][0] >= indent:
-            open_maps.pop()
-        here = open_maps[-1][1]
-        if value.strip():
-            here[key.strip()] = _scalar(value)
-        else:
-            here[key.strip()] = {}
-            open_maps.append((indent, here[key.strip()]))
-    return root
+        yield number, len(line) - len(bare), key.strip(), value.strip()
+
+
+def _mapping(entries: list[tuple[int, int, str, str]]) -> dict:
+    """The map whose keys stand at the first entry's indent; what stands deeper after a key without a value is that key's map."""
+    out: dict = {}
+    at = 0
+    while at < len(entries):
+        number, indent, key, value = entries[at]
+        if indent != entries[0][1]:
+            raise ConfigError(f"line {number}: an indent that fits no key above")
+        end = next((k for k in range(at + 1, len(entries)) if entries[k][1] <= indent), len(entries))
+        if value and end > at + 1:
+            raise ConfigError(f"line {entries[at + 1][0]}: an indent below a value")
+        out[key] = _scalar(value) if value else _mapping(entries[at + 1 : end])
+        at = end
+    return out
+
+
+def parse_yaml(text: str) -> dict:
+    """Nested maps, scalars, inline lists and comments; tabs in the indentation, lines without a key and indents that fit none are errors."""
+    return _mapping(list(_entries(text)))
 
 
 def load(path: str) -> dict:
@@ -186,7 +198,7 @@ def validate(config: dict) -> dict:
             number = float(found)
         except (TypeError, ValueError) as error:
             raise ConfigError(f"{path} must be a number") from error
-        if number < low or (above and number == low) or (high is not None and (number > high or (below and number == high))):
+        if not math.isfinite(number) or number < low or (above and number == low) or (high is not None and (number > high or (below and number == high))):
             raise ConfigError(f"{path} is out of its range: {found}")
     for path, allowed in CHOICES.items():
         if (found := value_at(config, path)) is not None and str(found).lower() not in allowed:
@@ -215,10 +227,23 @@ def sampling_strategy(config: dict) -> dict:
 
 def matcher(config: dict, source: str) -> str:
     """The matcher for a dataset or video, where the choice is auto."""
+    if source not in ("dataset", "video"):
+        raise ConfigError(f"unknown kind of input: {source}")
     chosen = str(config["colmap"]["matcher"]).lower()
     return chosen if chosen != "auto" else str(config["colmap"][f"{source}_matcher"]).lower()
 
 
+def backend(config: dict, importable: bool | None = None) -> str:
+    """The reconstruction backend: auto takes the Python module where it can be imported, else the command line; the module by name must be there."""
+    chosen = str(config["colmap"]["backend"]).lower()
+    if chosen not in CHOICES["colmap.backend"]:
+        raise ConfigError(f"colmap.backend must be one of {', '.join(CHOICES['colmap.backend'])}")
+    there = importlib.util.find_spec("pycolmap") is not None if importable is None else importable
+    if chosen == "pycolmap" and not there:
+        raise ConfigError("colmap.backend is pycolmap, which can't be imported")
+    return ("pycolmap" if there else "cli") if chosen == "auto" else chosen
+
+
 def reconstruction_commands(config: dict, images: str, database: str, output: str, source: str = "dataset") -> list[list[str]]:
     """Command lines of the external reconstruction's three stages; they are built here and run elsewhere."""
     c = config["colmap"]
@@ -233,5 +258,3 @@ def reconstruction_commands(config: dict, images: str, database: str, output: st
         match,
         [tool, "mapper", "--database_path", database, "--image_path", images, "--output_path", output],
     ]
-
-

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import dedup, geometry, matching, metrics, quality, results, sampling, select, submodel, validation
+from .scratch import fresh_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -96,7 +97,7 @@ def _tracks(spark, sf) -> DataFrame:
 
 @query("SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS position, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 8 = 0 AS is_test FROM documents")
 def holdout_split(spark, sf):
-    return sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id").select("lang", "doc_id", "position", "is_test")
+    return sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id", large=True).select("lang", "doc_id", "position", "is_test")
 
 
 @query(f"SELECT user_id, unnest(range(0, total, 7)) AS frame_index FROM ({VIDEOS})")
@@ -119,7 +120,7 @@ def even_spaced(spark, sf):
 g AS (SELECT lang, n, unnest(range(0, 30)) AS i FROM (SELECT DISTINCT lang, n FROM p))
 SELECT DISTINCT p.lang, doc_id, position FROM p JOIN g ON p.lang = g.lang AND (p.n <= 30 OR p.position = (g.i * (g.n - 1) + 14) // 29)""")
 def uniform_budget(spark, sf):
-    return sampling.uniform_budget(t(spark, sf, "documents"), "lang", "doc_id", 30, strict=False).select("lang", "doc_id", "position")
+    return sampling.uniform_budget(t(spark, sf, "documents"), "lang", "doc_id", 30, strict=False, large=True).select("lang", "doc_id", "position")
 
 
 @query("""WITH s AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents),
@@ -127,12 +128,12 @@ p AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id)
 g AS (SELECT lang, n, unnest(range(0, 20)) AS i FROM (SELECT DISTINCT lang, n FROM p))
 SELECT DISTINCT p.lang, doc_id FROM p JOIN g ON p.lang = g.lang AND (p.n <= 20 OR p.position = (g.i * (g.n - 1) + 9) // 19)""")
 def fixed_budget(spark, sf):
-    return sampling.fixed_budget(sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id"), "lang", 20, strict=False).select("lang", "doc_id")
+    return sampling.fixed_budget(sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id", large=True), "lang", 20, strict=False, large=True).select("lang", "doc_id")
 
 
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents) WHERE k % 8 <> 0")
 def full_candidates(spark, sf):
-    return sampling.training_candidates(sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id")).select("lang", "doc_id")
+    return sampling.training_candidates(sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id", large=True)).select("lang", "doc_id")
 
 
 @query(f"SELECT doc_id, {REASON} AS selection_reason FROM ({SIGNALS})")
@@ -169,7 +170,7 @@ def usable_fallback(spark, sf):
 
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents) WHERE k % 8 = 0 AND k % 3 = 1")
 def train_test_overlap(spark, sf):
-    split = sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id")
+    split = sampling.heldout_split(t(spark, sf, "documents"), "lang", "doc_id", large=True)
     return validation.overlap(split.filter("position % 3 = 1"), split.filter("is_test"), ["lang", "doc_id"])
 
 
@@ -264,15 +265,15 @@ def submodel_links(spark, sf):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 1)")
 def submodel_cameras(spark, sf):
-    used = t(spark, sf, "orders").filter("o_orderkey % 8 = 1").select(F.col("o_custkey").alias("c_custkey"))
-    return t(spark, sf, "customer").join(used, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    images = t(spark, sf, "orders").filter("o_orderkey % 8 = 1").select(F.col("o_custkey").alias("c_custkey"))
+    return submodel.used_cameras(t(spark, sf, "customer"), images, "c_custkey").select("c_custkey", "c_name")
 
 
 def _model(spark, sf) -> submodel.Model:
     """customer, orders and part as a model; the places of links in an image follow the line items' order."""
     c = t(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("camera_id"), F.col("c_mktsegment").alias("model"), F.lit(640).cast("long").alias("width"), F.lit(480).cast("long").alias("height"), F.array(F.lit(1.0)).alias("params"))
     line = t(spark, sf, "lineitem")
-    line = line.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[F.col(x) for x in line.columns])) - 1)
+    line = sampling.positions(line, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "k")
     point = F.when(F.col("l_partkey") % 10 == 0, F.lit(-1)).otherwise(F.col("l_partkey")).cast("long")
     links = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), point.alias("point3d_id")))).alias("p"))
     p2 = F.transform("p", lambda e: F.struct(e["x"].alias("x"), e["y"].alias("y"), e["point3d_id"].alias("point3d_id")))
@@ -361,13 +362,13 @@ RANKED = "SELECT *, row_number() OVER (PARTITION BY label, a ORDER BY d, b) AS r
 @query(f"""WITH n AS ({RANKED.format(NEAREST.format(side=0))}) SELECT x.label, x.a, x.b FROM n x JOIN n y ON x.label = y.label AND x.a = y.a AND x.rank = 1 AND y.rank = 2 WHERE x.d < 0.95 * y.d""")
 def knn2_ratio(spark, sf):
     a, b = _sides(spark, sf)
-    return matching.ratio_matches(matching.nearest(a, b, "label", matching.squared_distance), "label", 0.95).select("label", "a", "b")
+    return matching.ratio_matches(matching.nearest(a, b, "label"), "label", 0.95).select("label", "a", "b")
 
 
 @query(f"""WITH f AS ({RANKED.format(NEAREST.format(side=0))}), g AS ({RANKED.format(NEAREST.format(side=1))}) SELECT f.label, f.a, f.b FROM f JOIN g ON f.label = g.label AND f.a = g.b AND f.b = g.a AND f.rank = 1 AND g.rank = 1 WHERE f.d <= 1.6""")
 def mutual_nn(spark, sf):
     a, b = _sides(spark, sf)
-    forward, backward = (matching.nearest(x, y, "label", matching.squared_distance, 1) for x, y in ((a, b), (b, a)))
+    forward, backward = (matching.nearest(x, y, "label", k=1) for x, y in ((a, b), (b, a)))
     return matching.mutual_matches(forward, backward, "label", 1.6).select("label", "a", "b")
 
 
@@ -460,12 +461,6 @@ def laplacian_var(spark, sf):
     return t(spark, sf, "embeddings").select("vec_id", v.alias("p")).select("vec_id", r4(quality.laplacian_variance(F.col("p"), 8, 8)).alias("variance"))
 
 
-@query(f"""SELECT vec_id, {s4('(2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009))')} AS ssim FROM
-(SELECT vec_id, avg(x) AS ma, avg(y) AS mb, var_samp(x) AS va, var_samp(y) AS vb, covar_samp(x, y) AS cov FROM ({PIXELS}) GROUP BY 1)""")
-def ssim(spark, sf):
-    return _paired(spark, sf).select("vec_id", r4(metrics.ssim_window(F.col("ea"), F.col("eb"))).alias("ssim"))
-
-
 LINE = "CASE WHEN event_id % 4 = 0 THEN 'Depth ' ELSE '' END || 'Loss=' || event_id || '.5 '"
 
 
@@ -545,24 +540,26 @@ def frame_similarity(spark, sf):
 
 @query(f"SELECT user_id, arg_min(event_id, idx) AS first, arg_max(event_id, idx) AS last FROM ({FRAMES}) GROUP BY 1")
 def sequence_ends(spark, sf):
-    return _frames(spark, sf).groupBy("user_id").agg(F.min_by("event_id", "idx").alias("first"), F.max_by("event_id", "idx").alias("last"))
+    return sampling.sequence_ends(t(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_id")
 
 
-@query(f"SELECT lang, count(blur) AS with_blur, count(features) AS with_features, count(*) AS total FROM ({SIGNALS}) GROUP BY 1")
+@query(f"SELECT lang, count(*) AS candidate_count, count(blur) AS quality_signal_count, count(features) AS feature_signal_count FROM ({SIGNALS}) GROUP BY 1")
 def signal_counts(spark, sf):
-    return _signals(spark, sf).groupBy("lang").agg(F.count("blur").alias("with_blur"), F.count("features").alias("with_features"), F.count("*").alias("total"))
+    return quality.signal_counts(_signals(spark, sf), ["lang"], blur="blur", center=None, features="features")
 
 
-@query("SELECT d.doc_id, coalesce(l.quality, 1) AS quality, CASE WHEN l.toxic > 0 THEN l.toxic ELSE coalesce(l.quality, 0) END AS features FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 7 ELSE l.toxic END AS toxic, coalesce(CASE WHEN l.doc_id IS NOT NULL AND l.quality > 0 THEN l.quality END, CASE WHEN d.n_chars % 3 > 0 THEN d.n_chars % 3 END) AS feature_count
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def pose_quality_join(spark, sf):
-    out = t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels"), "doc_id", "left")
-    return out.select("doc_id", F.coalesce("quality", F.lit(1)).alias("quality"), F.when(F.col("toxic") > 0, F.col("toxic")).otherwise(F.coalesce("quality", F.lit(0))).alias("features"))
+    poses = t(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 3).alias("num_observed_points"))
+    signals = t(spark, sf, "labels").select("doc_id", "toxic", F.nullif("quality", F.lit(0)).alias("feature_count"))
+    return quality.join_quality(poses, signals, ["doc_id"], {"toxic": 7, "feature_count": None}).select("doc_id", "toxic", "feature_count")
 
 
 @query("SELECT base, max(path) AS path FROM (SELECT 'p' || (l_partkey % 500) || '.jpg' AS base, l_returnflag || '/' || l_linestatus || '/p' || (l_partkey % 500) || '.jpg' AS path FROM lineitem) GROUP BY 1")
 def later_path_wins(spark, sf):
     base = F.concat(F.lit("p"), (F.col("l_partkey") % 500).cast("string"), F.lit(".jpg"))
-    return t(spark, sf, "lineitem").select(base.alias("base"), F.concat_ws("/", "l_returnflag", "l_linestatus", base).alias("path")).groupBy("base").agg(F.max_by("path", "path").alias("path"))
+    return t(spark, sf, "lineitem").select(base.alias("base"), F.concat_ws("/", "l_returnflag", "l_linestatus", base).alias("path")).transform(validation.latest_paths, "base", "path")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size
@@ -579,38 +576,17 @@ def nested_details(spark, sf):
 
 @query("SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs FROM documents GROUP BY 1")
 def distinct_sorted(spark, sf):
-    return t(spark, sf, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
-
-
-# reading and writing, and streams: no SQL says these
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeframe-io-")
-    return f"{root.removeprefix('file://').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@query()
-def sfm_binary_roundtrip(spark, sf):
-    from .sources.sfm import read_model, write_model
-
-    path = _scratch(spark, "sfm")
-    m = _model(spark, sf)
-    write_model(submodel.Model(m.cameras.withColumns({"model": F.lit("PINHOLE"), "params": F.array(*[F.lit(1.0)] * 4)}), m.images, m.points), path)
-    return read_model(spark, path).images.select("image_id", "name", F.size("points2d").alias("num_points2d"))
+    return sampling.distinct_sorted(t(spark, sf, "documents"), "source", "lang").select("source", F.array_join("values", ",").alias("langs"))
 
 
-@query()
+@query(SQL["carried_dedup"])
 def stream_dedup(spark, sf):
     from .streaming.dedup import keep_novel, rocksdb_state
 
     rocksdb_state(spark)
     events = t(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*").select("user_id", "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    path = _scratch(spark, "stream")
+    path = fresh_path(spark, "stream")
     kept = keep_novel(stream, "user_id", "at", "value", "event_id", lambda a, b: abs(a - b) >= 30)
     run = kept.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import lodeframe.queries_files  # noqa: F401
 from lodeframe.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
