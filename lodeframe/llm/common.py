@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, materialise, shared_dir
+
+__all__ = ["Scratch", "materialise", "shared_dir"]
+
 #: A word is a run of characters other than blank and the five ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 MASK = (1 << 64) - 1
@@ -19,46 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. On one machine a temporary one serves
-    where neither is set; on a cluster that is an error, since no other folder is known to be shared."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lodeframe-')}")
-    return context.getCheckpointDir().get()
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends at files that outlive any executor. The caller's result reads it, so it stays."""
-    return Scratch().keep(df, name)
-
-
-class Scratch:
-    """Tables of one job in the shared folder, removed together once the job's result is written. What a job that fails leaves behind stays there."""
-
-    def __init__(self) -> None:
-        self.paths: list[tuple[SparkSession, str]] = []
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """materialise(), remembered."""
-        spark = df.sparkSession
-        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        self.paths.append((spark, path))
-        return spark.read.schema(df.schema).parquet(path)
-
-    def clear(self) -> None:
-        for spark, path in self.paths:
-            file = spark._jvm.org.apache.hadoop.fs.Path(path)
-            file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
-        self.paths = []
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where a lambda uses it for every element."""
     return F.transform(F.array(value), body)[0]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, materialise, mix, word_hashes
@@ -22,6 +23,8 @@ FRAGMENTS = 4
 SPREAD, JOIN_SPREAD = 64, 16
 #: Comparisons are made with leaders of each group, in round t with 2^t of them, until comparing the rest costs at most so many pairs a row.
 PAIRS_A_ROW = 3
+#: Ids of documents that go which a broadcast may hold (16 bytes each); beyond it the documents are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: Bits of the filter that picks the documents whose n-grams are needed whole, 16 for each; where it would need more, documents are picked by a join.
 FILTER_BITS = 1 << 27
 #: Texts that a worker holds at a time, and names of sets that it remembers.
@@ -106,7 +109,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(frequent):
-    """(n-gram, set key) of each different set's prefix: its first n // 4 + 1 n-grams in the global order. Two sets of a similarity
+    """(n-gram, set key, set size) of each different set's prefix: its first n // 4 + 1 n-grams in the global order. Two sets of a similarity
     of 3/4 or more share one of these. The lowest bit of an n-gram says that it is frequent. A set that a task meets again is passed
     over while its memory of SEEN names lasts; what comes twice is told apart later anyway."""
 
@@ -117,7 +120,7 @@ def _prefixes(frequent):
         maybe[known >> np.uint64(42)] = True
         seen: set[int] = set()
         for _, sets in _slices(batches):
-            keys, found = [], []
+            keys, sizes, found = [], [], []
             hot = maybe[sets.grams >> np.uint64(42)]
             where = np.flatnonzero(hot)
             at = np.minimum(np.searchsorted(known, sets.grams[where]), max(len(known) - 1, 0))
@@ -139,31 +142,34 @@ def _prefixes(frequent):
                     late = late[np.argsort(rank[late], kind="stable")][: take - len(own)]
                     own = np.concatenate([own, known[late] | HOT])
                 keys.append(key)
+                sizes.append(sets.sizes[k])
                 found.append(own)
             if found:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(np.array(keys, np.int64), [len(x) for x in found]))], names=["gram", "key"])
+                times = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(np.array(keys, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], names=["gram", "key", "n"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (gram, key): different ones, of n-grams that two sets have or that are frequent."""
-    held = np.zeros((2, 0), np.int64)
+    """Of rows (gram, key, n) sorted by (gram, key): different ones, of n-grams that are frequent or that another set has whose size lets the two link."""
+    held = np.zeros((3, 0), np.int64)
 
     def told(rows: np.ndarray) -> pa.RecordBatch | None:
         if not rows.shape[1]:
             return None
-        new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))
+        new = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(0))
         rows = rows[:, new]
-        first = np.append(True, rows[0, 1:] != rows[0, :-1])
-        run = np.cumsum(first) - 1
-        rows = rows[:, (np.bincount(run)[run] > 1) | (rows[0] & 1 == 1)]
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["gram", "key"]) if rows.shape[1] else None
+        # by size within an n-gram, the next smaller and the next larger set are the likeliest partners
+        rows = rows[:, np.lexsort((rows[2], rows[0]))]
+        near = (rows[0, 1:] == rows[0, :-1]) & (4 * rows[2, :-1] >= 3 * rows[2, 1:])
+        rows = rows[:, np.append(near, False) | np.append(False, near) | (rows[0] & 1 == 1)]
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["gram", "key", "n"]) if rows.shape[1] else None
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.hstack([held, np.stack([batch["gram"].to_numpy(), batch["key"].to_numpy()])])
+        rows = np.hstack([held, np.stack([batch["gram"].to_numpy(), batch["key"].to_numpy(), batch["n"].to_numpy().astype(np.int64)])])
         # the last n-gram may go on in the next batch; a frequent one needs no counting
         end = rows.shape[1] if rows[0, -1] & 1 else int(np.searchsorted(rows[0], rows[0, -1], "left"))
         held = rows[:, end:]
@@ -248,26 +254,28 @@ def _with_gram(rows: DataFrame, table: DataFrame) -> DataFrame:
 def _viable(rows: DataFrame) -> DataFrame:
     """Of rows (gram, key, n) those that can be part of a link: with the sizes that its group has, a set must share enough of its prefix with any others at all.
 
-    What is wanting is least for the smallest and for the largest partner; two are allowed for rounding. A link's own rows always stay.
+    What is wanting is least for the smallest and for the largest partner; two are allowed for rounding. A link's own rows always stay. A set's rows, at most a
+    quarter of its n-grams, meet in one task to be counted; an n-gram's don't.
     """
-    count = rows.groupBy("key").agg(F.count("*").alias("c"))
+    counted = rows.withColumn("c", F.count("*").over(Window.partitionBy("key")))
     size = rows.groupBy("gram").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("k")).filter("k > 1")
     n = F.col("n")
     least = F.least(_wanting(n, F.greatest("lo", F.ceil(n * 3 / 4))), _wanting(n, F.least("hi", F.floor(n * 4 / 3))))
-    return _with_gram(rows.join(count, "key"), size).filter(F.col("c") + 2 >= least).select("gram", "key", "n")
+    return _with_gram(counted, size).filter(F.col("c") + 2 >= least).select("gram", "key", "n")
 
 
 def _linked(pairs: DataFrame, first: DataFrame, fragments_of, scratch: Scratch) -> DataFrame:
     """The pairs (a, b, na, nb) with a similarity of 3/4 or more.
 
-    The order's first fragment of a pair is the two prefixes: where these share c n-grams, the sets share at most c plus what
+    The order's first fragment of a pair is the two prefixes (first: key, 16-bit marks of the n-grams, how many were merged by that): where these share c n-grams, the sets share at most c plus what
     the prefixes leave. Pairs that can still link have their overlaps counted in each further fragment and summed;
     fragments_of(keys) gives the fragments of the sets in such pairs, and of no others.
     """
     need = _needed(F.col("na"), F.col("nb"))
-    a = first.select(F.col("key").alias("a"), F.col("grams").alias("ga"))
-    b = first.select(F.col("key").alias("b"), F.col("grams").alias("gb"))
-    shared = F.size(F.array_intersect("ga", "gb"))
+    a = first.select(F.col("key").alias("a"), F.col("marks").alias("ga"), F.col("merged").alias("ea"))
+    b = first.select(F.col("key").alias("b"), F.col("marks").alias("gb"), F.col("merged").alias("eb"))
+    # n-grams that share a mark count as one: as many as either set has merged are allowed for
+    shared = F.size(F.array_intersect("ga", "gb")) + F.least("ea", "eb")
     hopeful = pairs.join(a, "a").join(b, "b").filter(shared >= _wanting(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
     hopeful = scratch.keep(hopeful, "join-hopeful")
     fragments = fragments_of(hopeful.select(F.col("a").alias("key")).union(hopeful.select("b")).distinct())
@@ -278,21 +286,8 @@ def _linked(pairs: DataFrame, first: DataFrame, fragments_of, scratch: Scratch)
     return counts.filter(F.col("n") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, n_shingles and component_id, the smallest id reachable by links.
-
-    Two documents link when the sets of their different word 5-grams have a Jaccard similarity of 3/4 or more; a text of
-    fewer words is one n-gram, and a text without words (null, empty) links with nothing and is its own component. Words are runs other than blanks
-    and ASCII controls from tab to carriage return, with A-Z in lower case. Null ids take part and get their component's smallest id (null if none).
-    Repeated rows link. Texts of any length count whole. An empty table gives no rows. Other columns, whatever their names, are ignored.
-
-    Documents with equal sets are one class from the start, named by a 64-bit hash of the set. The global order has rare n-grams
-    first: by hash, then the most frequent ones by count (any order is exact; this one keeps groups small). Each
-    class sends its prefix, sorted by n-gram in one shuffle. Groups of classes that share an n-gram are then not paired off: a round compares all with
-    a few leaders of each group, links contract classes to components, and only classes outside a group's largest component
-    are compared with the rest. A pair inside one component needs no comparison, so no link between components is lost.
-    The result is written to the shared folder; all other tables of the job are removed.
-    """
+def _classified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, key, n_shingles, component, component_id) of each row: the name of its set, and of its component by a set's name and by its smallest id. Written to the shared folder; all other tables of the job are removed."""
     spark, scratch = docs.sparkSession, Scratch()
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -306,19 +301,20 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     frequent = spark.sparkContext.broadcast((gram[order], rank[order]))
 
     spread = F.when(F.col("gram").bitwiseAND(F.lit(1)) == 1, F.pmod("key", F.lit(SPREAD))).otherwise(F.lit(0))
-    prefixes = rows.select("text").mapInArrow(_prefixes(frequent), "gram long, key long")
+    prefixes = rows.select("text").mapInArrow(_prefixes(frequent), "gram long, key long, n int")
     dealt = prefixes.repartition(int(parts), "gram", spread).sortWithinPartitions("gram", "key")
     early = Scratch()
-    shared = early.keep(dealt.mapInArrow(_shared, "gram long, key long"), "join-shared")
+    shared = early.keep(dealt.mapInArrow(_shared, "gram long, key long, n int"), "join-shared")
     frequent.destroy()
 
     classes = members.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    groups = early.keep(_viable(_viable(shared.join(classes.select("key", "n"), "key"))), "join-groups")
+    groups = early.keep(_viable(_viable(shared)), "join-groups")
     # the cleanest set has the largest part of its prefix in common with others
     clean = (F.col("c") * 1_000_000 / (F.floor(F.col("n") / 4) + 1)).cast("long")
-    involved = groups.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.collect_set("gram").alias("grams")).join(classes.select("key", "id"), "key")
-    involved = scratch.keep(involved.select("key", "id", "n", "c", clean.alias("clean"), "grams"), "join-involved")
-    first = involved.select("key", "grams")
+    mark = F.collect_set((F.pmod(F.shiftright("gram", 16), F.lit(1 << 16)) - F.lit(1 << 15)).cast("short"))
+    involved = groups.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("n"), mark.alias("marks")).join(classes.select("key", "id"), "key")
+    involved = scratch.keep(involved.select("key", "id", "n", "c", clean.alias("clean"), "marks", (F.col("c") - F.size("marks")).alias("merged")), "join-involved")
+    first = involved.select("key", "marks", "merged")
 
     def fragments_of(keys: DataFrame, own: Scratch) -> DataFrame:
         """One pass over the documents, in which a bit filter of a fixed size picks those whose n-grams are needed whole; too many for it are joined by their ids."""
@@ -347,23 +343,29 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     leaders = 1
     while True:
         own = Scratch()
-        now = groups.join(labels, "key") if leaders > 1 else groups.withColumn("component", F.col("key"))
-        split = now.groupBy("gram", "component").agg(F.count("*").alias("size")).groupBy("gram")
-        split = split.agg(F.sum("size").alias("all"), F.count("*").alias("k"), F.max(F.struct("size", "component")).alias("big")).filter("k > 1")
-        split = own.keep(split.select("gram", "all", F.col("big.size").alias("most"), F.col("big.component").alias("big")), "join-split")
+        if leaders == 1:  # every class is a component of its own, so an n-gram's rows need no grouping by component
+            now = groups.withColumn("component", F.col("key"))
+            split = groups.groupBy("gram").agg(F.count("*").alias("all"), F.lit(1).cast("long").alias("most"), F.max("key").alias("big"), F.max(F.struct("clean", "key", "n", "c")).alias("lead")).filter("all > 1")
+        else:
+            now = groups.join(labels, "key")
+            split = now.groupBy("gram", "component").agg(F.count("*").alias("size")).groupBy("gram")
+            split = split.agg(F.sum("size").alias("all"), F.count("*").alias("k"), F.max(F.struct("size", "component")).alias("big")).filter("k > 1")
+            split = split.select("gram", "all", F.col("big.size").alias("most"), F.col("big.component").alias("big"))
+        split = own.keep(split, "join-split")
         work = split.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("w")).first()["w"]
         if work is None:
             own.clear()
             break
         exact = work <= PAIRS_A_ROW * total
-        # in later rounds leaders are the cleanest outside the largest component, one of each of as many parts
-        outside = now if leaders == 1 else _with_gram(now, split.select("gram", "big")).filter("component <> big")
+        outside = _with_gram(now, split.select("gram", "big")).filter("component <> big")
         if exact:
-            lead = _with_gram(now, split.select("gram", "big")).filter("component <> big")
-        else:
+            lead = outside
+        elif leaders == 1:
+            lead = split.select("gram", "lead.key", "lead.n", "lead.c", F.col("lead.key").alias("component"))
+        else:  # the cleanest outside the largest component, one of each of as many parts
             dealt = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
             lead = outside.groupBy("gram", dealt.alias("dealt")).agg(F.max(F.struct("clean", "key", "n", "c", "component")).alias("lead"))
-            lead = own.keep(lead.join(split.select("gram"), "gram", "left_semi").select("gram", "lead.key", "lead.n", "lead.c", "lead.component"), "join-leaders")
+            lead = own.keep(lead.select("gram", "lead.key", "lead.n", "lead.c", "lead.component"), "join-leaders")
         lead = lead.select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("c").alias("sx"), F.col("component").alias("cx"))
         pairs = (now.join(lead, "gram") if exact else _with_gram(now, lead)).filter("cx <> component")
         pairs = pairs.filter("4 * least(n, nx) >= 3 * greatest(n, nx)").filter(F.least("c", "sx") >= _wanting(F.col("n"), F.col("nx")))
@@ -390,24 +392,59 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
     named = involved.select("key", "id").join(labels, "key")
     smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
-    of_key = named.join(smallest, "component").select("key", "smallest")
-    every = classes.select("key", "id").join(of_key, "key", "left").select("key", F.coalesce("smallest", "id").alias("smallest"))
-    out = members.join(every, "key", "left")
-    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")), "join-result")
+    of_key = named.join(smallest, "component").select("key", "component", "smallest")
+    every = classes.select("key", "id").join(of_key, "key", "left").select("key", F.coalesce("component", "key").alias("component"), F.coalesce("smallest", "id").alias("smallest"))
+    out = members.join(every, "key", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    out = materialise(out, "join-result")
     scratch.clear()
     return out
 
 
+def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row a document: doc_id, n_shingles and component_id, the smallest id reachable by links.
+
+    Two documents link when the sets of their different word 5-grams have a Jaccard similarity of 3/4 or more; a text of
+    fewer words is one n-gram, and a text without words (null, empty) links with nothing and is its own component. Words are runs other than blanks
+    and ASCII controls from tab to carriage return, with A-Z in lower case. Null ids take part and get their component's smallest id (null if none).
+    Repeated rows link. Texts of any length count whole. An empty table gives no rows. Other columns, whatever their names, are ignored.
+
+    Documents with equal sets are one class from the start, named by a 64-bit hash of the set. The global order has rare n-grams
+    first: by hash, then the most frequent ones by count (any order is exact; this one keeps groups small). Each
+    class sends its prefix, sorted by n-gram in one shuffle. Groups of classes that share an n-gram are then not paired off: a round compares all with
+    a few leaders of each group, links contract classes to components, and only classes outside a group's largest component
+    are compared with the rest. A pair inside one component needs no comparison, so no link between components is lost.
+    """
+    return _classified(docs, text, doc_id).select("doc_id", "n_shingles", "component_id")
+
+
+def _names(texts: pd.Series) -> pd.Series:
+    return pd.Series(Shingles(texts.tolist()).keys())
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents whose component has a smaller id: one document of each group stays, and all texts without words.
+    """docs without the rows whose component has a smaller id: one row of each component stays, and all texts without words (null, empty).
 
-    Of rows that share an id (and have words) one stays. Rows without an id can't be told apart by it and stay.
+    Of rows of one component that share its smallest id the one with the least text stays; rows that share an id but no component are held apart by their
+    texts. Rows without an id can't be told apart and stay. All columns stay, whatever their names. An empty table gives no rows.
     """
-    found = materialise(jaccard_components(docs, text, doc_id), "near-duplicates")
+    found, columns = _classified(docs, text, doc_id), docs.columns
+    repeated = materialise(found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-repeated")
     gone = found.filter("doc_id <> component_id and n_shingles > 0").select("doc_id").distinct()
-    kept = docs.join(gone, docs[doc_id].cast("long") == gone["doc_id"], "left_anti")
-    repeated = found.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    gone = materialise(gone.join(repeated, "doc_id", "left_anti"), "near-gone")
+
+    def held(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return rows.join(few, rows[doc_id].cast("long") == few["doc_id"], how)
+
+    kept = held(docs, gone, "left_anti")
     if repeated.isEmpty():
         return kept
-    twice = kept[doc_id].cast("long") == repeated["doc_id"]
-    return kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates([doc_id]))
+    # an id that rows share is no name of a row: these are told apart by the names of their sets
+    twice = held(kept, repeated, "left_semi").toDF(*[f"c{k}" for k in range(len(columns))])
+    row, value = F.struct(*twice.columns).alias("row"), f"c{columns.index(text)}"
+    twice = twice.select(row, F.coalesce(F.col(value), F.lit("")).alias("text"), F.col(f"c{columns.index(doc_id)}").cast("long").alias("doc_id"), F.pandas_udf(_names, "long")(F.col(value)).alias("key"))
+    of_set = found.select("doc_id", "key", "n_shingles", "component", "component_id").distinct()
+    twice = twice.join(of_set, ["doc_id", "key"])
+    ones = twice.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", "component").agg(F.min_by("row", "text").alias("row")).select("row")
+    ones = ones.union(twice.filter("n_shingles = 0").select("row"))
+    return held(kept, repeated, "left_anti").union(ones.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)]))
