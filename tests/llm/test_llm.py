@@ -149,6 +149,16 @@ def test_drop_near_duplicates(docs):
     assert set(kept[0]) == set(docs.columns)
 
 
+def test_repeated_ids_lose_no_document(spark, empty):
+    long = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    items = [(5, long("a"), "x"), (5, long("b"), "y"), (5, long("b"), "z"), (6, long("b") + " end", "q"), (7, long("c"), "r"), (5, "", "e"), (5, None, "n"), (4, long("a"), "s"), (None, long("a"), "t"), (None, long("a"), "u")]
+    kept = rows(ngram_join.drop_near_duplicates(spark.createDataFrame(items, "doc_id int, text string, __id string")))
+    want = [(4, long("a"), "s"), (7, long("c"), "r"), (5, "", "e"), (5, None, "n"), (None, long("a"), "t"), (None, long("a"), "u")]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"], r["__id"])) for r in kept if r["__id"] not in "yz")
+    assert sum(r["__id"] in "yz" for r in kept) == 1
+    assert ngram_join.drop_near_duplicates(empty).count() == 0
+
+
 def test_packing_places_every_id_once(docs, empty):
     got = rows(packing.pack(docs))
     code = tokens.encoder(tokens.public_tokenizer()).tokenizer
@@ -287,6 +297,61 @@ def test_heavy_line_repetition_goes(spark):
     assert not any(got[k]["kept"] or got[k]["base_failed"] for k in range(320, 340))
 
 
+def robust(rows, support=quality_mcd.SUPPORT):
+    """Least determinant over many random starts with exact concentration steps, in NumPy; sampling variances as the operator's."""
+    x = np.array([[r[c] for c in quality_mcd.STATS] for r in rows])
+    sizes = {"words": np.array([max(r["n_words"], 1) for r in rows]), "lines": np.array([max(r["__lines"], 1) for r in rows]), "chars": np.array([max(r["word_chars"], 1) for r in rows])}
+    noise = np.stack([f / sizes[s] for f, s in quality_mcd.SAMPLING.values()], 1)
+    least = np.array([f / np.median(sizes[s]) for f, s in quality_mcd.SAMPLING.values()])
+    rng, best, h = np.random.default_rng(0), None, int(np.ceil(support * len(x)))
+
+    def spread(part):
+        c = np.cov(part.T, bias=True)
+        return c + np.diag(np.maximum(least - np.diag(c), 0) + 1e-7)
+
+    for _ in range(60):
+        part = x[rng.choice(len(x), 12, replace=False)]
+        for _ in range(40):
+            m, c = part.mean(0), spread(part)
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            part = x[np.argsort(d, kind="stable")[:h]]
+        if best is None or np.linalg.slogdet(spread(part))[1] < best[0]:
+            best = np.linalg.slogdet(spread(part))[1], part.mean(0), spread(part) * quality_mcd.consistency(7, support)
+    _, m, c = best
+    return best[0], [float((v - m) @ np.linalg.solve(c + np.diag(np.maximum(e - least, 0)), v - m)) for v, e in zip(x, noise, strict=True)]
+
+
+@tables
+def test_distances_are_those_of_the_least_determinant(spark):
+    """One language of a few thousand real rows as one group, against many random starts."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang = 'fr'").withColumn("source", F.lit("one"))
+    got = {r["doc_id"]: r for r in rows(quality_mcd.quality_rules(d))}
+    stats = quality_mcd._transformed(quality_mcd.base_statistics(d)).select("doc_id", *quality_mcd.STATS, "n_words", "word_chars", "__lines").collect()
+    good = [r for r in stats if not got[r.doc_id]["base_failed"]]
+    _, want = robust([r.asDict() for r in good])
+    mine = [got[r.doc_id]["distance"] for r in good]
+    limit = quality_mcd.chi_square_quantile(7, quality_mcd.TAIL)
+    assert np.corrcoef(np.log(mine), np.log(want))[0, 1] > 0.995 and np.mean([(a > limit) == (b > limit) for a, b in zip(mine, want, strict=True)]) > 0.998
+
+
+def test_quality_estimates_need_no_large_group(spark, monkeypatch):
+    rng = random.Random(3)
+    text = lambda: " ".join("abcdefgh"[: rng.randint(3, 8)] + str(rng.randint(0, 999)) for _ in range(rng.randint(80, 200)))
+    sizes = {("en", "big"): 260, ("en", "small"): 9, ("de", "x"): 120, ("de", "y"): 110, (None, None): 4, ("fr", ""): 1}
+    made, k = [], 0
+    for (lang, source), n in sizes.items():
+        for _ in range(n):
+            made.append((k, text(), lang, source))
+            k += 1
+    made += [(1000 + j, " ".join(f"w{j}{i}$$$ ###" for i in range(100)), lang, source) for j, (lang, source) in enumerate(sizes)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string")
+    for few in (quality_mcd.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(quality_mcd, "BROADCAST_CELLS", few)
+        got = {r["doc_id"]: r["kept"] for r in rows(quality_mcd.quality_rules(df))}
+        assert not any(got[1000 + j] for j in range(len(sizes))) and sum(got[j] for j in range(k)) >= k - 2 and len(got) == len(made)
+    assert quality_mcd.chi_square_quantile(2, 0.05) == pytest.approx(5.99146, abs=1e-4) and quality_mcd.consistency(7, 0.75) == pytest.approx(1.3247, abs=1e-3)
+
+
 def test_line_dedup(docs, empty, spark):
     lines = [(f"h{k % 2}", f"head line\nbody {k}\n\n{'rare' if k in (1, 3) else 'own ' + str(k)}\n  head line ") for k in range(12)] + [("h9", "head line\nx"), (None, None), (None, "head line")]
     df = spark.createDataFrame([(k, h, t, "clash") for k, (h, t) in enumerate(lines)], "page bigint, host string, text string, key string")
@@ -301,6 +366,12 @@ def test_line_dedup(docs, empty, spark):
         assert got[k]["text"] == (None if t is None else "\n".join(keep))
     assert got[0]["n_lines"] == 5 and got[0]["n_dropped"] == 2 and got[13]["n_lines"] == 0
     assert line_dedup.drop_site_boilerplate(empty).count() == 0 and line_dedup.drop_site_boilerplate(docs).count() == docs.count()
+    clash = df.selectExpr("page", "host AS source", "text", "'kept' AS n_lines", "'too' AS __out", "key AS bad", "1 AS cleaned")
+    with pytest.raises(ValueError):
+        line_dedup.drop_site_boilerplate(clash)
+    plain = line_dedup.drop_site_boilerplate(clash, max_ratio=0.3, counts=("lines", "gone"))
+    assert plain.columns == [*clash.columns, "lines", "gone"] and {(r.n_lines, r["__out"], r.bad, r.cleaned) for r in plain.collect()} == {("kept", "too", "clash", 1)}
+    assert {r.page: r.text for r in line_dedup.drop_site_boilerplate(clash, max_ratio=0.3, counts=None).collect()} == {k: r["text"] for k, r in got.items()}
     urls = spark.createDataFrame([("http://u:p@A.b.com:80/x",), ("//c.d/?q",), ("plain",), (None,)], "u string").select(line_dedup.host_of(F.col("u"))).collect()
     assert [r[0] for r in urls] == ["a.b.com", "c.d", "plain", None]
 
