@@ -79,7 +79,7 @@ class PieceModel:
 
     def tokenizer(self):
         """The same model for the tokenizers library. BPE merges are all splits of a piece into two pieces, best score first."""
-        from tokenizers import Regex, Tokenizer, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         if self.kind == UNIGRAM:
             model = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unk_id, byte_fallback=self.byte_fallback)
@@ -101,6 +101,9 @@ class PieceModel:
             steps.append(normalizers.Prepend(MARK))
         out = Tokenizer(model)
         out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+        # back: markers become blanks, byte pieces join to UTF-8, the dummy prefix goes
+        back = [decoders.Replace(MARK, " "), *([decoders.ByteFallback()] if self.byte_fallback else []), decoders.Fuse()]
+        out.decoder = decoders.Sequence([*back, *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         return out
 
     def cuttable(self) -> bool:
@@ -127,31 +130,41 @@ class Memory(dict):
 
 
 class PieceCodec:
-    """Encodes by the rebuilt tokenizer and holds every distinct chunk against the SentencePiece library."""
+    """Encodes and decodes by the rebuilt tokenizer and holds every distinct chunk against the SentencePiece library.
+
+    threads: for batches, of the tokenizers library's pool; the first codec of a process sets its size.
+    """
 
     def __init__(self, path: str, threads: int = 2):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
 
+        self.parallel = "true" if threads > 1 else "false"
+
         with open(path, "rb") as file:
             self.model = PieceModel.parse(file.read())
         self.backend = self.model.tokenizer()
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cut = self.model.cuttable()
         self.chunks = Memory(REMEMBERED)
+        #: Chunks on which the library doesn't agree, and texts that chunks decode to where these aren't the chunks themselves.
         self.odd: set[str] = set()
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else (b" \xe2\x81\x87 " if kind == UNKNOWN else b"" if kind == CONTROL else p.replace(MARK, " ").encode()) for p, _, kind in self.model.pieces]
+        self.changed: dict[str, str] = {}
+        #: What has no text of its own: control pieces none, the unknown piece a mark (fixed value).
+        self.silent = {i: " \u2047 " if kind == UNKNOWN else "" for i, (_, _, kind) in enumerate(self.model.pieces) if kind in (UNKNOWN, CONTROL)}
 
-    def _both(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        own = [x.ids for x in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[str]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = self.parallel
+        own = [x.ids if t else [] for x, t in zip(self.backend.encode_batch_fast(texts, add_special_tokens=False), texts, strict=True)]
         theirs = self.library.encode(texts, num_threads=1)
-        own = [x if t else [] for x, t in zip(own, texts, strict=True)]
-        return [array("I", x).tobytes() for x in own], [a == b for a, b in zip(own, theirs, strict=True)]
+        return [array("I", x).tobytes() for x in own], [a == b for a, b in zip(own, theirs, strict=True)], self.decode_batch(own)
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[str]]:
+        """Little-endian unsigned 32-bit ids, whether the SentencePiece library agrees on the text, and the text that the ids decode to. Ids and text are the rebuilt tokenizer's in any case.
 
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Little-endian unsigned 32-bit ids, and whether the SentencePiece library agrees on the text. The ids are the rebuilt tokenizer's in any case."""
-        out: list[tuple[bytes, bool]] = [(b"", True)] * len(texts)
+        A text whose blanks stand alone is its chunks between them, since no piece reaches over a blank; each distinct chunk is encoded, decoded and held against the library once.
+        """
+        out: list[tuple[bytes, bool, str]] = [(b"", True, "")] * len(texts)
         again: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         whole: list[int] = []
         get = self.chunks.get
@@ -161,31 +174,48 @@ class PieceCodec:
                 continue
             parts = text.split(" ")
             found = list(map(get, parts))
-            if None in found or self.odd:
+            if None in found or self.odd or self.changed:
                 again.append((k, parts, found, [i for i, x in enumerate(found) if x is None]))
             else:
-                out[k] = b"".join(found), True
+                out[k] = b"".join(found), True, text
         if again:
             new = list({parts[i] for _, parts, _, holes in again for i in holes})
-            ids, same = self._both(new) if new else ([], [])
+            ids, same, back = self._batch(new) if new else ([], [], [])
             learned = dict(zip(new, ids, strict=True))
             self.chunks.add(learned)
-            odd = {x for x, ok in zip(new, same, strict=True) if not ok}
-            # a chunk whose parity failed stays known, so that texts with it are told apart
-            self.odd |= odd
+            # what is out of the ordinary stays known, so that texts with it are told apart
+            self.odd |= {x for x, ok in zip(new, same, strict=True) if not ok}
+            self.changed |= {x: b for x, b in zip(new, back, strict=True) if x != b}
             for k, parts, found, holes in again:
                 for i in holes:
                     found[i] = learned[parts[i]]
-                out[k] = b"".join(found), not self.odd or self.odd.isdisjoint(parts)
+                ok = not self.odd or self.odd.isdisjoint(parts)
+                out[k] = b"".join(found), ok, texts[k] if self.changed.keys().isdisjoint(parts) else " ".join([self.changed.get(x, x) for x in parts])
         if whole:
-            for k, *both in zip(whole, *self._both([texts[k] for k in whole]), strict=True):
+            for k, *both in zip(whole, *self._batch([texts[k] for k in whole]), strict=True):
                 out[k] = tuple(both)
-        return [x for x, _ in out], [ok for _, ok in out]
+        return [x for x, _, _ in out], [ok for _, ok, _ in out], [b for _, _, b in out]
+
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        """The texts of ids, by the rebuilt tokenizer; control and unknown ids cut a text into parts that it decodes by themselves."""
+        out = self.backend.decode_batch(ids, skip_special_tokens=False)
+        for k, row in enumerate(ids):
+            if not self.silent.keys().isdisjoint(row):
+                out[k] = self._parts(row)
+        return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: byte pieces join to UTF-8, markers become blanks, the dummy prefix goes."""
-        text = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+    def _parts(self, row: list[int]) -> str:
+        parts, at, lead = [], 0, self.model.dummy_prefix
+        for k, x in enumerate([*row, -1]):
+            if x == -1 or x in self.silent:
+                run = row[at:k]
+                text = self.backend.decode(run, skip_special_tokens=False) if run else ""
+                # only the first text loses a blank that stands for the dummy prefix
+                if run and any(parts) and lead and self.model.pieces[run[0]][0].startswith(MARK):
+                    text = " " + text
+                parts += [text, self.silent.get(x, "")]
+                at = k + 1
+        return "".join(parts)
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -208,7 +238,8 @@ def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text",
 
     The ids are the rebuilt tokenizer's. round_trip: the decoded ids are the text. parity: the SentencePiece library gives
     the same ids; each distinct chunk between blanks is held against the library once a worker. Null and empty
-    texts have no ids and round-trip to the empty text. Repeated rows and null ids stay. No shuffle; memory is bounded by a batch and the chunks remembered.
+    texts have no ids and round-trip to the empty text; texts of any length are encoded whole. Repeated rows and null ids stay, an empty table gives no rows, other columns, whatever their names, are ignored.
+    No shuffle; memory is bounded by a batch and the chunks remembered.
     """
     path = path or model_path()
 
@@ -218,8 +249,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, text: str = "text",
             for k in range(0, batch.num_rows, 512):
                 rows = batch.slice(k, 512)
                 texts = [x or "" for x in rows["text"].to_pylist()]
-                ids, same = both.encode(texts)
-                back = [both.decode(x) for x in ids]
+                ids, same, back = both.encode(texts)
                 out = [
                     rows["doc_id"],
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -244,7 +274,10 @@ def decode_pieces(df: DataFrame, path: str | None = None, ids: str = "ids", doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(path)
         for batch in batches:
-            texts = [None if x is None else both.decode(np.array(x, "<u4").tobytes()) for x in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+            for k in range(0, batch.num_rows, 512):
+                rows = batch.slice(k, 512)
+                found = rows["ids"].to_pylist()
+                texts = [None if x is None else t for x, t in zip(found, both.decode_batch([x or [] for x in found]), strict=True)]
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -477,10 +477,58 @@ def test_pieces_are_the_backends():
             return [[5] if x in ("two", " lead") else code.backend.encode(x, add_special_tokens=False).ids if x else [] for x in texts]
 
     code.library = Other()
-    ids, same = code.encode(cases)
+    ids, same, _ = code.encode(cases)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want and same == [False, False, True, True]
 
 
+def test_pieces_decode_as_the_library_does(spark):
+    code = spm.PieceCodec(spm.model_path())
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] if os.path.isdir("/root/testdata/sf0.001") else []
+    texts += ["", " lead", "two  blanks ", "日本 😀 é\x00z", "tab\tand\nline", "▁mark ▁▁", "\ufffd"]
+    ids, _, back = code.encode(texts)
+    lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
+    assert back == code.decode_batch(lists) == [code.library.decode(x) for x in lists]
+    assert all(a == b for a, b in zip(texts, back, strict=True) if "▁" not in a)
+    odd = [[1, *lists[0][:5], 2], [0, *lists[0][:5]], [*lists[0][:3], 0, *lists[0][3:6]], [0], []]
+    assert code.decode_batch(odd) == [code.library.decode(x) for x in odd]
+
+
+def unigram_file(path):
+    """A small unigram model with bytes to fall back on, as a protobuf file."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def message(field, body):
+        return number(field << 3 | 2) + number(len(body)) + body
+
+    import struct
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces += [(p, s, 1) for p, s in (("▁", -3.0), ("▁ab", -1.0), ("a", -4.0), ("b", -4.5), ("▁a", -2.0), ("bab", -3.5), ("▁b", -5.0), ("é", -6.0))]
+    data = b"".join(message(1, message(1, p.encode()) + number(2 << 3 | 5) + struct.pack("<f", s) + number(3 << 3) + number(k)) for p, s, k in pieces)
+    trainer = number(3 << 3) + number(1) + number(35 << 3) + number(1) + number(40 << 3) + number(0)
+    normaliser = number(3 << 3) + number(1) + number(4 << 3) + number(0)
+    path.write_bytes(data + message(2, trainer) + message(3, normaliser))
+    return str(path)
+
+
+def test_unigram_with_byte_fallback(spark, tmp_path):
+    path = unigram_file(tmp_path / "small.model")
+    model = spm.PieceModel.parse(open(path, "rb").read())
+    assert model.kind == spm.UNIGRAM and model.byte_fallback and not model.squeeze and len(model.pieces) == 267
+    code = spm.PieceCodec(path)
+    texts = ["ab", "abab a b", "é ä 😀", "aab  ba ", "", "zab"]
+    ids, same, back = code.encode(texts)
+    assert all(same) and back == texts and [np.frombuffer(x, "<u4").tolist() for x in ids] == [code.library.encode(x) for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "doc_id bigint, text string")
+    got = rows(spm.encode_pieces(df, path=path))
+    assert all(r["parity"] and r["round_trip"] for r in got) and {r.doc_id: r.text for r in spm.decode_pieces(spm.encode_pieces(df, path=path), path=path).collect()} == dict(enumerate(texts)) | {9: ""}
+
+
 def test_unigram_backend():
     model = spm.PieceModel([("<unk>", 0.0, spm.UNKNOWN), ("▁", -3.0, 1), ("▁ab", -1.0, 1), ("a", -4.0, 1), ("b", -4.0, 1), ("▁a", -2.0, 1)], spm.UNIGRAM)
     assert model.tokenizer().encode("ab  a", add_special_tokens=False).tokens == ["▁ab", "▁a"]
