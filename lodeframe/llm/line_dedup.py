@@ -35,6 +35,11 @@ def page_lines(html: Column) -> Column:
     return html
 
 
+def page_texts(pages: DataFrame, url: str = "url", html: str = "html", keep: str = "page_id") -> DataFrame:
+    """(keep, host, text) of pages, parsed once and written to the shared folder: line counts and the lines' removal both read it. Null addresses and pages stay null."""
+    return materialise(pages.select(keep, host_of(F.col(url)).alias("host"), page_lines(F.col(html)).alias("text")), "page-texts")
+
+
 def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(BLANK))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import compare_neighbours
-from .line_dedup import drop_site_boilerplate, host_of, page_lines
+from .line_dedup import drop_site_boilerplate, page_texts
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality_ftrl import score_quality
@@ -57,8 +57,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumns({"host": host_of(F.col("url")), "text": page_lines(F.col("html"))})
-    out = drop_site_boilerplate(pages.select("page_id", "host", "text"), host="host")
+    out = drop_site_boilerplate(page_texts(table(spark, sf_dir, "pages")), host="host")
     return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
