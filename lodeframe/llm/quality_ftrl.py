@@ -99,8 +99,9 @@ def train(texts: list[str], labels: list[int], bits: int = BITS, epochs: int = E
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 4, held_out: int = 2, fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row a document: doc_id, held_out, score (0 to 1) and predicted (1 from threshold on).
 
-    Fitted on up to fit_rows labelled rows outside the held-out fold (crc32 of the id as text, modulo `modulus`). Null and empty
-    texts get the bias alone; without labels every score is 0.5. Repeated rows get equal scores. The weights, 4 MB, are broadcast.
+    Fitted on up to fit_rows labelled rows outside the held-out fold (crc32 of the id as text, modulo `modulus`; labelled.training_sample). Null and empty
+    texts get the bias alone; texts of any length are read whole; without labels every score is 0.5. Repeated rows get equal scores, null ids stay; an empty table gives no rows. Further columns of either table
+    are ignored. The weights, 4 MB, are broadcast.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(*training_sample(docs, labels, "quality", modulus, held_out, fit_rows)))
 

@@ -14,8 +14,8 @@ from .labelled import FIT_ROWS, fold, training_sample
 
 #: Insults that the lexicon has without any label (fixed values).
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "imbecile", "dumb", "retard", "bastard", "asshole", "bitch", "fuck", "shit", "cunt", "whore", "slut")
-#: A term of the lexicon: rows it must be in, and how much likelier it is in toxic rows.
-MIN_ROWS, RATIO, MAX_TERMS = 3, 8.0, 1_500
+#: A term of the lexicon: rows it must be in, and how much likelier it is in toxic rows. The sample that it is learned from bounds the lexicon.
+MIN_ROWS, RATIO = 3, 8.0
 STEMS = (5, 6, 7)
 #: Terms from this length on are caught with one edit.
 FUZZY_FROM = 5
@@ -148,7 +148,6 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[dict[str, float]
     # a stem counts only where many different words carry it, and its shortest form stands for the longer ones
     forms = Counter(t[:k] for t in rows[1] for k in STEMS if len(t) > k and t[:k] in found)
     found = {s: w for s, w in found.items() if forms[s] >= 6 and not any(s[:k] in found for k in range(1, len(s)))}
-    terms = dict(sorted(terms.items(), key=lambda t: (-t[1] * np.log1p(rows[1][t[0]]), t[0]))[:MAX_TERMS])
     for seed in SEEDS:
         terms.setdefault(seed, float(np.log(RATIO)))
     fuzzy = frozenset(t for t in terms if len(t) >= FUZZY_FROM)
@@ -253,8 +252,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
     """One row a document: doc_id, held_out, score (0 to 1), predicted (1 from threshold on) and caught.
 
     The lexicon and weights come from up to fit_rows labelled rows outside the held-out fold (crc32 of the id as text, modulo `modulus`).
-    Null and empty texts catch nothing and get the base score. Repeated rows get equal scores. The broadcast model has
-    at most MAX_TERMS terms and their stems.
+    A word is caught if it is a term, begins with a stem, or is one edit from a term of FUZZY_FROM characters or more. Null and empty texts catch nothing and get the base score; texts of any
+    length are read whole. Repeated rows get equal scores, null ids stay; an empty table gives no rows, and without labels the seeds alone are caught. Further columns of either table are ignored.
+    The broadcast model has the terms and stems of the sample's rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, "toxic", modulus, held_out, fit_rows)))
 
