@@ -20,7 +20,9 @@ FROM_LEVEL = 2
 #: The place of null ids, after all others.
 LAST = -(2**63) + 1
 #: Code points that are parsed at a time; whole texts are never cut.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
+#: Ranges of text hashes, as a power of two, that the rows of one id are cut into where they are more than a range should have.
+CUT_BITS = 6
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,25 +166,59 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", doc_id: str = "do
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _deal(bounds: np.ndarray):
-    """Rows with the range of ids that they belong to, and a guest's copy of each range's first for the range before. Texts are packed by zstandard, to
+def _ranges(slim: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """(id, cut, least hash) of the rows where ranges begin, in order (ids fall, hashes rise). Ranges begin at ids of the table; an id with more rows than a range should have
+    begins one for each part of its texts' hashes that has rows. The list's length depends on `parts` alone."""
+    found = slim.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] + [1.0], 10_000).alias("q"), F.count("*").alias("n")).first()
+    if not found["n"]:
+        return []
+    heads = slim.filter(F.col("k").isin(sorted({int(x) for x in found["q"]})))
+    heavy = [r["k"] for r in heads.groupBy("k").count().filter(F.col("count") > found["n"] / parts).collect()]
+    cut = F.when(F.col("k").isin(heavy), F.shiftright("tie", 64 - CUT_BITS)).otherwise(F.lit(-(1 << CUT_BITS)).cast("long"))
+    rows = heads.groupBy("k", cut.cast("int").alias("cut")).agg(F.min("tie").alias("tie")).collect()
+    return sorted(((r["k"], r["cut"], r["tie"]) for r in rows), key=lambda r: (-r[0], r[1]))
+
+
+def _names(spark, count: int) -> list[int]:
+    """Numbers whose hash deals them to partitions 0, 1, ... of `count`: with them each range has a task of its own."""
+    numbers = spark.range(64 * count + 64).select(F.col("id").cast("int").alias("i"))
+    first = {r["p"]: r["i"] for r in numbers.groupBy(F.pmod(F.hash("i"), F.lit(count)).alias("p")).agg(F.min("i").alias("i")).collect()}
+    return [first.get(p, p) for p in range(count)]
+
+
+def _deal(bounds: list[tuple[int, int, int]], names: list[int]):
+    """Rows with the range that they belong to, and a guest's copy of each range's first for the range before. Texts are packed by zstandard, to
     about half of what the shuffle's own codec makes of them."""
+    whole = -(1 << CUT_BITS)
+    place = {(k, cut): r for r, (k, cut, _) in enumerate(bounds)}
+    last = {k: r for r, (k, _, _) in enumerate(bounds)}
+    first = {(k, tie): r for r, (k, _, tie) in enumerate(bounds)}
+    keys = sorted(last, reverse=True)
+    falling = -np.array(keys, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=6, write_checksum=False)
+        pack, sent = zstandard.ZstdCompressor(level=6, write_checksum=False), set()
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 rows = batch.slice(begin, 1024)
-                k = np.array([LAST if x is None else x for x in rows["doc_id"].to_pylist()], np.int64)
-                # range r holds ids from bounds[r] down to, but without, bounds[r + 1]
-                own = np.maximum(np.searchsorted(-bounds, -k, "right") - 1, 0)
-                heads = np.flatnonzero(np.isin(k, bounds))
-                at = np.append(np.arange(len(k)), heads)
-                where = np.append(own, (own[heads] - 1) % len(bounds)).astype(np.int32)
-                guest = np.append(np.zeros(len(k), np.int32), np.ones(len(heads), np.int32))
+                k = rows["k"].to_pylist()
+                # a range holds ids from its own down to, but without, the next one's
+                near = np.maximum(np.searchsorted(falling, -rows["k"].to_numpy(), "right") - 1, 0).tolist()
+                at, where, guest = list(range(len(k))), [], [0] * len(k)
+                for i, (x, tie, r) in enumerate(zip(k, rows["tie"].to_pylist(), near, strict=True)):
+                    head = keys[r]
+                    where.append(last[head] if x != head else place[x, whole] if (x, whole) in place else place[x, tie >> (64 - CUT_BITS)])
+                    if (x, tie) in first and (x, tie) not in sent:  # one copy of a task's equal rows is enough
+                        sent.add((x, tie))
+                        at.append(i)
+                        guest.append(1)
+                where += [(first[k[i], rows["tie"][i].as_py()] - 1) % len(bounds) for i in at[len(k) :]]
                 packed = pa.array([pack.compress(x.encode("utf-8", "surrogatepass")) for x in rows["text"].to_pylist()], pa.binary())
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([rows["doc_id"].take(take), pa.array(k[at]), pa.array(where), pa.array(guest), packed.take(take)], names=["doc_id", "k", "range", "guest", "packed"])
+                yield pa.RecordBatch.from_arrays(
+                    [rows["doc_id"].take(take), rows["k"].take(take), rows["tie"].take(take), pa.array([names[x] for x in where], pa.int32()), pa.array(where, pa.int32()), pa.array(guest, pa.int32()), packed.take(take)],
+                    names=["doc_id", "k", "tie", "name", "range", "guest", "packed"],
+                )
 
     return run
 
@@ -190,22 +226,19 @@ def _deal(bounds: np.ndarray):
 def compare_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of each document, of its text edited with the next one's, and their likeness.
 
-    The next document is the one with the next smaller id (equal ids: by packed text; null ids are last); after the last comes the first. One
-    shuffle deals the texts out by ranges of ids; the first document of each range also goes to the range before, so every task has the next document of
-    its last. Null texts are empty. An empty table gives no rows; a single document follows itself.
+    The next document is the one with the next smaller id (equal ids: by the text's hash; null ids are last); after the last comes the first. One
+    shuffle deals the texts out by ranges of ids, and the rows of an id that fills a range by the hash of their texts too; each range is a task of its own. The first document of each range also goes to the range before, so every
+    task has the next document of its last. Runs of one code point are named by their length, however long. Null texts are empty; repeated rows follow one another. An empty table gives no rows; a single document follows itself.
+    Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("k"))
-    parts = max(input_partitions(spark), 2)
-    # ranges end at ids of the table; how many there are doesn't depend on the rows
-    bounds = slim.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] + [1.0], 10_000).alias("q")).first()["q"] or []
-    bounds = np.array(sorted({int(x) for x in bounds}, reverse=True), np.int64)
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    count = len(bounds) or 1
+    value = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(value).alias("tie"), value.alias("text"))
+    bounds = _ranges(rows.select("k", "tie"), max(input_partitions(spark), 2))
+    names = _names(spark, max(len(bounds), 1))
     # one task a range: rows of a range stand together, its own first
-    dealt = rows.mapInArrow(_deal(bounds), "doc_id long, k long, range int, guest int, packed binary")
-    dealt = dealt.repartition(count, "range").sortWithinPartitions("range", "guest", F.col("k").desc(), "packed")
+    dealt = rows.mapInArrow(_deal(bounds, names), "doc_id long, k long, tie long, name int, range int, guest int, packed binary")
+    dealt = dealt.repartition(len(names), "name").sortWithinPartitions("range", "guest", F.col("k").desc(), "tie", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None

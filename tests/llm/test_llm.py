@@ -436,6 +436,55 @@ def test_fingerprints(docs, empty, spark):
     assert fingerprints.compare_neighbours(docs).count() == docs.count() and fingerprints.fingerprint_documents(docs).count() == docs.count()
 
 
+def test_neighbours_of_ids_that_fill_ranges(spark):
+    """Half of the rows share an id or have none, in many texts or in one."""
+    rng = random.Random(12)
+    text = lambda: "".join(rng.choice("abcdefg hij") for _ in range(rng.randint(20, 60)))
+    items = [(rng.choice([7, None]), text()) for _ in range(120)] + [(9, "the same text again")] * 60 + [(k, text()) for k in range(10, 90)] + [(None, "")] * 5
+    df = spark.createDataFrame(items, "doc_id bigint, text string").repartition(5)
+    got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"]) for r in rows(fingerprints.compare_neighbours(df)))
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(items, key=lambda x: (x[0] is None, -(x[0] or 0), hashes[x[1]]))
+    names = dict(zip(hashes, fingerprints.sketch(list(hashes)), strict=True))
+    want = collections.Counter()
+    for k, (i, t) in enumerate(order):
+        follow = order[(k + 1) % len(order)][1]
+        changed = t[: len(t) - len(t) // 2] + follow[: len(t) // 2]
+        want[i, len(t), hashlib.sha256(changed.encode()).hexdigest(), fingerprints.likeness(names[t], names[follow])] += 1
+    assert got == want
+
+
+def phrases(text):
+    """Names of all phrases that a sketch is drawn from, plainly: each text by itself, all levels kept."""
+    found = set()
+    names = np.array([ord(c) for c in text], "<u4")
+    owner = np.zeros(len(names), np.int32)
+    for level in range(1, fingerprints.LEVELS + 1):
+        if not len(names):
+            break
+        names, owner = fingerprints._phrases(names, owner)
+        if level >= fingerprints.FROM_LEVEL:
+            found |= set(fingerprints.mix(names + np.uint64(level)).tolist())
+    return found
+
+
+def test_likeness_is_near_the_share_of_common_phrases():
+    """The sketch's estimate against the exact share, and that against the share of common substrings."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop qrst") for _ in range(n))
+    whole, errors = text(4000), []
+    for part in (0.0, 0.25, 0.5, 0.75, 0.95, 1.0):
+        other = whole[: int(4000 * part)] + text(4000 - int(4000 * part))
+        a, b = phrases(whole), phrases(other)
+        exact = len(a & b) / len(a | b)
+        estimate = fingerprints.likeness(*fingerprints.sketch([whole, other]))
+        errors.append(abs(estimate - exact))
+        assert abs(exact - part / (2 - part)) < 0.12 and abs(estimate - exact) < 0.2, part
+    assert np.mean(errors) < 0.08
+    for name, t in (("long", whole), ("short", "ab"), ("run", "z" * 70)):
+        assert fingerprints.sketch([t])[0].tolist() == sorted(phrases(t))[: fingerprints.SKETCH], name
+
+
 def test_fingerprints_are_local():
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh ij") for _ in range(6000))
