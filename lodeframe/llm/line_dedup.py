@@ -13,8 +13,8 @@ MIN_PAGES, MIN_COPIES = 5, 3
 BROADCAST_LINES = 2_000_000
 #: How a page becomes lines: scripts, styles and comments go, tags inside a line go, other tags break lines, blanks around breaks go.
 VISIBLE = (
-    (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", ""),
-    (r"(?i)</?(?:a|b|i|em|strong|span|u|code|small|sub|sup)(?:\s[^>]*)?>", ""),
+    (r"(?is)<script\b.*?</script[\x20\x09-\x0D]*>|<style\b.*?</style[\x20\x09-\x0D]*>|<!--.*?-->", ""),
+    (r"(?i)</?(?:a|b|i|em|strong|span|u|code|small|sub|sup)(?:[\x20\x09-\x0D][^>]*)?>", ""),
     (r"<[^>]*>", "\n"),
     (r"[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*", "\n"),
 )

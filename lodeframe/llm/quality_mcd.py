@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, let, materialise, words
 
 SYMBOLS = "[#*$%&|<>]"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
 #: The part of a group's rows that an estimate is taken from, concentration steps that all starts make, steps at most, and the change of the log determinant at which they end.
 SUPPORT, TRIED, STEPS, SETTLED = 0.75, 3, 30, 1e-2
@@ -286,7 +287,7 @@ def _judged(stats: DataFrame, tail: float) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit))
 
 
-def _failed() -> Column:
+def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
@@ -294,7 +295,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     """docs without the rows that quality_rules() rejects, with all their columns, whatever these are named. The judged rows are written once with their texts."""
     out = list(docs.columns)
     rows = _transformed(base_statistics(_grouped(docs.toDF(*[f"c{k}" for k in range(len(out))]), f"c{out.index(text)}", f"c{out.index(lang)}", f"c{out.index(source)}"), f"c{out.index(text)}"))
-    rows = materialise(rows.withColumn("base_failed", _failed()), "quality-rows")
+    rows = materialise(rows.withColumn("base_failed", base_failed()), "quality-rows")
     return _judged(rows, tail).filter("kept").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(out)])
 
 
@@ -311,5 +312,5 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
     stats = _transformed(base_statistics(_grouped(rows, "text", "lang", "source"))).drop("text", "lang", "source", "__head")
-    judged = _judged(materialise(stats.withColumn("base_failed", _failed()), "quality-stats"), tail)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("d2").alias("distance"))
+    judged = _judged(materialise(stats.withColumn("base_failed", base_failed()), "quality-stats"), tail)
+    return judged.select("doc_id", *BASE, "base_failed", "kept", F.col("d2").alias("distance"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import table
 from .fingerprints import compare_neighbours
 from .line_dedup import drop_site_boilerplate, page_texts
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality_ftrl import score_quality
-from .quality_mcd import quality_rules
+from .quality_mcd import BASE, base_failed, base_statistics, quality_rules
 from .secrets import find_secrets
 from .sharding import shard_by_bytes
 from .spm import encode_pieces
@@ -61,6 +62,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7_quality_rules, as its operator counts them."""
+    return base_statistics(table(spark, sf_dir, "documents")).select("doc_id", *BASE, base_failed().alias("base_failed"))
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op5_secrets."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def llm_queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -73,8 +84,16 @@ def llm_queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_pieces": op9_pieces,
         "op10_line_dedup": op10_line_dedup,
+        "quality_base": quality_base,
+        "secrets_base": secrets_base,
     }
 
 
 def llm_oracle_sql() -> dict:
-    return {}
+    return {
+        "op2_sharding": sql.SHARDING,
+        "op4_ngram_join": sql.NGRAMS,
+        "op10_line_dedup": sql.LINES,
+        "quality_base": sql.QUALITY_BASE,
+        "secrets_base": sql.SECRETS_BASE,
+    }
