@@ -25,11 +25,14 @@ TAIL = 1e-6
 PLACES, OCTAVE = 1024, 64
 #: Estimates (under 1 kB each) that a broadcast may hold; beyond it rows are dealt by group and one of so many salts.
 BROADCAST_CELLS, SALTS = 20_000, 64
-#: Transformed statistics, and the sampling variance of each from the counts that it is made of: 1 / n for the log of a count, Anscombe's 1 / 4n for the root of a share, where repeated words come in
+#: Transformed statistics, and the sampling variance of each from the counts that it is made of: Anscombe's 1 / 4n for the root of a share, where repeated words come in
 #: sixes at least; a mean word length has a coefficient of variation of about a half by word, here times the transform's slope. No estimate has a smaller variance than sampling gives, as
-#: a statistic that is the same in all central rows (a share of 0) has none of its own.
-STATS = ["x_len", "x_word", "x_symbol", "x_dup", "x_repeat", "x_upper", "x_mark"]
-SAMPLING = {"x_len": (1.0, "words"), "x_word": (0.72, "words"), "x_symbol": (0.25, "words"), "x_dup": (0.25, "lines"), "x_repeat": (1.5, "words"), "x_upper": (0.25, "chars"), "x_mark": (0.25, "words")}
+#: a statistic that is the same in all central rows (a share of 0) has none of its own. Length is no statistic: a long text is no outlier by that.
+STATS = ["x_word", "x_symbol", "x_dup", "x_repeat", "x_upper", "x_mark"]
+SAMPLING = {"x_word": (0.72, "words"), "x_symbol": (0.25, "words"), "x_dup": (0.25, "lines"), "x_repeat": (1.5, "words"), "x_upper": (0.25, "chars"), "x_mark": (0.25, "words")}
+#: What the counts are called in a table of rows, and their logarithms in one of statistics.
+COUNTS = {"words": "n_words", "lines": "__lines", "chars": "word_chars"}
+SIZES = {"words": "y_words", "lines": "y_lines", "chars": "y_chars"}
 
 
 def chi_square_cdf(p: int, x: float) -> float:
@@ -118,7 +121,6 @@ def _transformed(df: DataFrame) -> DataFrame:
     repeat = F.greatest(F.col("n_repeat_words") - F.when(F.col("__head") > 2, 2 * F.col("__head")).otherwise(F.lit(0)), F.lit(0))
     return df.withColumns(
         {
-            "x_len": F.log1p("n_words"),
             "x_word": F.log1p(F.col("word_chars") / n) * 2,
             "x_symbol": F.sqrt(F.col("n_symbols") / n),
             "x_dup": F.sqrt(dup / F.greatest(F.col("__lines"), F.lit(1))),
@@ -193,14 +195,13 @@ def _starts(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
     """(cell, start, f, u, m, c): medians with three scatters to start from, the least and the usual variances. The scatters, all of rows standardised by medians and quartiles: none but the
     spreads themselves, the covariance of their hyperbolic tangents, and that of their directions."""
     p = len(STATS)
-    sizes = {"words": "x_len", "lines": "y_lines", "chars": "y_chars"}
-    listed = [*STATS, "y_lines", "y_chars"]
+    listed = [*STATS, *SIZES.values()]
     tall = rows.select("cell", F.posexplode(F.array(*listed)).alias("i", "x"))
     q = _quantiles(tall, ["cell", "i"], F.round(F.col("x") * PLACES).cast("long"), [0.25, 0.5, 0.75])
     # one row a cell: quartiles of each statistic in turn
     wide = q.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("i", "q0", "q1", "q2"))).alias("q"))
     at = lambda x, k: F.col("q")[listed.index(x)][f"q{k}"] / PLACES
-    typical = {k: F.greatest(F.expm1(at(v, 1)), F.lit(1.0)) for k, v in sizes.items()}
+    typical = {k: F.greatest(F.expm1(at(v, 1)), F.lit(1.0)) for k, v in SIZES.items()}
     usual = [F.lit(SAMPLING[x][0]) / typical[SAMPLING[x][1]] for x in STATS]
     least = [F.greatest(v, F.lit(RANK)) for v in usual]
     base = wide.select("cell", _array([at(x, 1) for x in STATS]).alias("m"), _array([(at(x, 2) - at(x, 0)) / 1.349 for x in STATS]).alias("s"), _array(least).alias("f"), _array(usual).alias("u"))
@@ -227,7 +228,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 
 def mcd_estimates(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
-    """(cell, m, c, u) for each cell of rows (cell, STATS, y_lines, y_chars): centre and covariance of the SUPPORT part of its rows whose covariance has the least
+    """(cell, m, c, u) for each cell of rows (cell, STATS, sizes): centre and covariance of the SUPPORT part of its rows whose covariance has the least
     determinant found, made consistent, and the usual sampling variances.
 
     Each start makes TRIED concentration steps (the nearest SUPPORT part of the rows gives the next estimate); the one with the least determinant goes on until that settles.
@@ -273,14 +274,13 @@ def _judged(stats: DataFrame, tail: float) -> DataFrame:
     good = stats.filter(~F.col("base_failed"))
     cells = _cells(good, scratch)
     few = 3 * cells.count() <= BROADCAST_CELLS
-    slim = good.select(*group, *STATS, F.log1p(F.greatest("__lines", F.lit(1))).alias("y_lines"), F.log1p(F.greatest("word_chars", F.lit(1))).alias("y_chars"))
-    rows = scratch.keep(_on(slim, cells, group, few).select(F.explode("gives").alias("cell"), *STATS, "y_lines", "y_chars"), "mcd-rows")
+    slim = good.select(*group, *STATS, *[F.log1p(F.greatest(COUNTS[k], F.lit(1))).alias(y) for k, y in SIZES.items()])
+    rows = scratch.keep(_on(slim, cells, group, few).select(F.explode("gives").alias("cell"), *STATS, *SIZES.values()), "mcd-rows")
     best = mcd_estimates(rows, few, scratch)
     known = materialise(cells.select(*group, "judge").join(best.withColumnRenamed("cell", "judge"), "judge").drop("judge"), "mcd-known")
     scratch.clear()
     joined = _on(stats, known, group, few, "left")
-    counts = {"words": "n_words", "lines": "__lines", "chars": "word_chars"}
-    more = {i: F.greatest(F.lit(SAMPLING[x][0]) / F.greatest(F.col(counts[SAMPLING[x][1]]), F.lit(1)) - F.col("u")[i], F.lit(0.0)) for i, x in enumerate(STATS)}
+    more = {i: F.greatest(F.lit(SAMPLING[x][0]) / F.greatest(F.col(COUNTS[SAMPLING[x][1]]), F.lit(1)) - F.col("u")[i], F.lit(0.0)) for i, x in enumerate(STATS)}
     joined = joined.withColumn("c", _array([F.col("c")[k] + more[i] if i == j else F.col("c")[k] for k, (i, j) in enumerate(_pairs())]))
     limit = chi_square_quantile(len(STATS), tail)
     out = _whitened(joined).withColumn("d2", _distance(F.col("w"), F.col("m"))).select(*stats.columns, "d2")
@@ -304,7 +304,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
 
     A document fails the base rules with under MIN_WORDS words or with more than half of its words in repeated
     three-word windows. The others are held against the minimum-covariance-determinant estimate of their language and source (in groups under MIN_ROWS rows: of their language, then of all) and rejected beyond
-    the chi-square quantile. A short text's statistics vary more by chance alone; that variance is added to the covariance that it is held against. A first line that is also the last isn't counted as
+    the chi-square quantile. Statistics are shares and the mean word length; length itself is none. A short text's statistics vary more by chance alone; that variance is added to the covariance that it is held against. A first line that is also the last isn't counted as
     repeated in the distance.
 
     Null or empty text fails the base rules and gives no statistic to an estimate. Null languages and sources are groups of their own. Repeated rows are judged alike, null ids stay. Texts of any length count whole. An

@@ -316,7 +316,7 @@ def robust(rows, support=quality_mcd.SUPPORT):
             d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
             part = x[np.argsort(d, kind="stable")[:h]]
         if best is None or np.linalg.slogdet(spread(part))[1] < best[0]:
-            best = np.linalg.slogdet(spread(part))[1], part.mean(0), spread(part) * quality_mcd.consistency(7, support)
+            best = np.linalg.slogdet(spread(part))[1], part.mean(0), spread(part) * quality_mcd.consistency(len(quality_mcd.STATS), support)
     _, m, c = best
     return best[0], [float((v - m) @ np.linalg.solve(c + np.diag(np.maximum(e - least, 0)), v - m)) for v, e in zip(x, noise, strict=True)]
 
@@ -330,7 +330,7 @@ def test_distances_are_those_of_the_least_determinant(spark):
     good = [r for r in stats if not got[r.doc_id]["base_failed"]]
     _, want = robust([r.asDict() for r in good])
     mine = [got[r.doc_id]["distance"] for r in good]
-    limit = quality_mcd.chi_square_quantile(7, quality_mcd.TAIL)
+    limit = quality_mcd.chi_square_quantile(len(quality_mcd.STATS), quality_mcd.TAIL)
     assert np.corrcoef(np.log(mine), np.log(want))[0, 1] > 0.995 and np.mean([(a > limit) == (b > limit) for a, b in zip(mine, want, strict=True)]) > 0.998
 
 
@@ -695,19 +695,68 @@ def test_quality_held_out(spark, empty):
 
 @tables
 def test_pipeline(spark):
+    """Each stage against brute force on what the one before left."""
     import corpus_pipeline as pipeline
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    novelty = secrets.Novelty()
     sizes = []
     for name, stage in pipeline.STAGES:
         after = stage(spark, docs, sf).cache()
+        before, left = docs.collect(), after.collect()
         if name != "packing":
-            assert after.columns == pipeline.COLUMNS
+            assert after.columns == pipeline.COLUMNS and all(r.n_chars == len(r.text) for r in left if r.text is not None and name in ("line_dedup", "secret_scans"))
+        if name == "quality_rules":
+            judged = {r["doc_id"]: r for r in rows(quality_mcd.quality_rules(docs))}
+            assert {r.doc_id for r in left} == {k for k, r in judged.items() if r["kept"]}
+            for r in before:
+                words, _, _, _, repeated = base_counts(r.text)
+                assert judged[r.doc_id]["base_failed"] == (words < 50 or 100 * repeated > 50 * words)
+        if name == "line_dedup":
+            pages = collections.Counter(r.source for r in before)
+            seen = collections.Counter((r.source, x) for r in before for x in {y.strip(" \t\n\x0b\x0c\r") for y in (r.text or "").split("\n")})
+            for r in before:
+                bad = lambda x, r=r: x.strip(" \t\n\x0b\x0c\r") and pages[r.source] >= 5 and (n := seen[r.source, x.strip(" \t\n\x0b\x0c\r")]) >= 3 and n > 0.1 * pages[r.source]
+                (kept,) = [y.text for y in left if y.doc_id == r.doc_id]
+                assert kept == "\n".join(x for x in r.text.split("\n") if not bad(x))
         if name == "near_duplicates":
-            found = brute_components([(r.doc_id, r.text) for r in docs.collect()])
-            assert {r.doc_id for r in after.collect()} == {i for i, n, c in found if n == 0 or i == c}
-        sizes.append(after.count())
+            found = brute_components([(r.doc_id, r.text) for r in before])
+            assert {r.doc_id for r in left} == {i for i, n, c in found if n == 0 or i == c}
+        if name == "secret_scans":
+            assert {r.doc_id: r.text for r in left} == {r.doc_id: secrets.redact(r.text, secrets.scan(r.text, novelty)[1]) for r in before}
+        if name == "packing":
+            code = tokens.encoder(tokens.public_tokenizer())
+            whole = {r.doc_id: np.append(np.frombuffer(x, "<u4"), 0).astype("<u4") for r, x in zip(before, code.exact([r.text or "" for r in before]), strict=True)}
+            assert sum(r.length for r in left) == sum(map(len, whole.values()))
+            assert all(zlib.crc32(whole[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in left)
+            full = collections.Counter()
+            for r in left:
+                full[r.sequence_id] += r.length
+            assert all(n == 1024 or n & (n - 1) == 0 for n in full.values())
+        sizes.append(len(left))
         docs = after
     assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3] and sizes[0] == sizes[1]
-    assert docs.agg(F.countDistinct("doc_id")).first()[0] == sizes[3]
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, c0 string, key string, __gone string, queue string, n_lines string, bad string"
+    long = " ".join(f"w{k}" for k in range(30_000))
+    body = [(k, " ".join(f"{'abcdefg'[j % 7]}{j * k % 97}" for j in range(60 + k)), "en", "s", None) for k in range(20)]
+    odd = [(None, None, None, None, None), (100, "", "en", "s", 0), (101, long, "de", None, 7), (101, long, "de", None, 7), (None, long + " x", None, "t", None), (102, " \n\t ", "en", "", None), (103, "password = hunter22 " + long, "fr", "u", None)]
+    docs = spark.createDataFrame([(*r, *["clash"] * 6) for r in body + odd], schema).repartition(3)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.filter("false"), "").count() == 0, name
+        out = stage(spark, docs, "").collect()
+        if name in ("line_dedup", "secret_scans"):
+            assert len(out) == len(body) + len(odd) and sum(r.text is None for r in out) == 1, name
+        if name == "secret_scans":
+            assert not any("hunter22" in (r.text or "") for r in out)
+        if name == "quality_rules":
+            assert not any(r.doc_id in (100, 102) for r in out) and sum(r.doc_id == 101 for r in out) in (0, 2)
+        if name == "near_duplicates":
+            assert sum(r.doc_id == 101 for r in out) == 1 and sum(r.doc_id is None for r in out) == 2 and {100, 102} <= {r.doc_id for r in out}
+        if name == "packing":
+            assert sum(r.length for r in out if r.doc_id == 100) == 1 and {r.source for r in out if r.doc_id == 101} == {None}
