@@ -1,4 +1,8 @@
-"""Corpus preparation: quality rules, line dedup, near-duplicate removal, secret redaction, packing."""
+"""Corpus preparation: quality rules, line dedup, near-duplicate removal, secret redaction, packing.
+
+What all stages have in common: docs may have nulls in any column, repeated rows, and further columns of any name, which the stages do not hand on (all but the last return COLUMNS); texts of any
+length are taken whole; an empty table gives an empty one. What a stage does with null and empty texts is said there.
+"""
 
 from __future__ import annotations
 
@@ -15,29 +19,34 @@ from lodeframe.llm.secrets import redact_secrets
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the robust outlier test reject go."""
+    """Documents that the base rules or the robust outlier test reject go; these have null and empty texts among them. Null languages and sources are groups of their own; repeated rows are judged alike."""
     return keep_good(docs).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that over a tenth of a source's documents contain go; n_chars is counted anew."""
+    """Lines that over a tenth of a source's documents contain go; n_chars is counted anew. No document goes: null texts stay null with their n_chars, a text of boilerplate alone becomes empty. Null sources are one source; repeated
+    rows count as documents of their own."""
     out = drop_site_boilerplate(docs, host="source", max_ratio=0.1, counts=None)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return _counted(out)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest id, and of rows with that id the one with the least text. Texts without words (null, empty) and rows without an id stay."""
     return drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; no document goes, and n_chars is counted anew."""
-    return redact_secrets(docs).select(*COLUMNS)
+    """Secrets are replaced by a mark; no document goes, and n_chars is counted anew. Null texts stay null with their n_chars."""
+    return _counted(redact_secrets(docs.select(*COLUMNS)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, packed into sequences of 1024 tokens with every source's share."""
+    """All that is left, packed into sequences of 1024 tokens with every source's share. Null and empty texts are an end mark alone; null sources are one source; repeated rows and rows without an id are packed as they stand."""
     return pack(docs, window=1024, with_ids=False).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
 
