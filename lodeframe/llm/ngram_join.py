@@ -21,8 +21,8 @@ COUNTED = 2_000_000
 FRAGMENTS = 4
 #: Tasks that a frequent n-gram's rows are spread over: where they are dealt, and where they are joined with a row for each n-gram.
 SPREAD, JOIN_SPREAD = 64, 16
-#: Comparisons are made with leaders of each group, in round t with 2^t of them, until comparing the rest costs at most so many pairs a row.
-PAIRS_A_ROW = 3
+#: Comparisons are made with leaders of each group, in each round with so many times as many, until comparing the rest costs at most so many pairs a row.
+MORE_LEADERS, PAIRS_A_ROW = 16, 8
 #: Ids of documents that go which a broadcast may hold (16 bytes each); beyond it the documents are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Bits of the filter that picks the documents whose n-grams are needed whole, 16 for each; where it would need more, documents are picked by a join.
@@ -388,7 +388,7 @@ def _classified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         counts = able.groupBy("key").agg(F.count("*").alias("c"))
         groups = scratch.keep(rest.join(able, ["gram", "key"]).join(counts, "key"), "join-rows")
         own.clear()
-        leaders *= 2
+        leaders *= MORE_LEADERS
 
     named = involved.select("key", "id").join(labels, "key")
     smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
