@@ -16,6 +16,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 LEAST = 16
+NUMBER = re.compile(r"[0-9]{1,3}[^A-Za-z0-9]*\Z")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST}}}")
 RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
 #: A line break, real or escaped, and what stands between two lines of a key, quotes of joined strings included.
@@ -70,9 +71,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _mixed(x: str) -> bool:
-    """Digits and letters, or letters of which three tenths at least are of each case, as names don't have."""
+    """Digits and letters, or letters of which three tenths at least are of each case, as names don't have. Up to three digits at the end are a name's number."""
     upper, lower = sum(c.isupper() for c in x), sum(c.islower() for c in x)
-    return upper + lower > 0 and (any(c.isdigit() for c in x) or min(upper, lower) >= 0.3 * (upper + lower))
+    return upper + lower > 0 and (any(c.isdigit() for c in NUMBER.sub("", x)) or min(upper, lower) >= 0.3 * (upper + lower))
 
 
 def _key_end(text: str, start: int, end: int, headed: bool, novelty: Novelty) -> int:

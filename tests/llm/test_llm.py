@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -418,6 +419,90 @@ def test_long_secrets_go_whole():
         assert secrets.redact(text, secrets.scan(text, novelty)[1]) == (want or text)
 
 
+def test_novelty_finds_planted_secrets_and_leaves_names_alone():
+    """Recall over 400 random credentials after cues, and alarms over 400 names, paths and words in the same places."""
+    rng, novelty = random.Random(17), secrets.Novelty()
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [upper + lower + digits, upper + lower + digits + "+/", upper + lower + digits + "-_", digits + upper, lower + digits]
+    cues = ["Authorization: Bearer {}", "x-auth {} end", 'credential "{}"', "the session_id is {}.", "signature {}\nnext", "private_key -> '{}'", "passphrase {} ok"]
+    around = ["def read(config):\n    return config.get('x')\n", "the old house stood at the end of the road. ", "", "import os, sys\nname = 'value'\n"]
+    parts = "user name list get set config value client server default connection string path file index count data model test case handler request response cache key token session auth manager service".split()
+    found = 0
+    for k in range(400):
+        token = "".join(rng.choice(alphabets[k % 5]) for _ in range(rng.randint(20, 60)))
+        if not any(c.isdigit() for c in token):
+            token = "7" + token
+        text = rng.choice(around) + cues[k % len(cues)].format(token) + " " + rng.choice(around)
+        begin = text.index(token)
+        found += any(a <= begin and b >= begin + len(token.rstrip(".=")) for _, a, b in secrets.scan(text, novelty)[1])
+    alarms = 0
+    for k in range(400):
+        words = [rng.choice(parts) for _ in range(rng.randint(3, 6))]
+        name = ["_".join(words), words[0] + "".join(w.title() for w in words[1:]), "/".join(words), "-".join(words), ".".join(words) + str(rng.randint(1, 9))][k % 5]
+        text = rng.choice(around) + cues[k % len(cues)].format(name) + " " + rng.choice(around)
+        alarms += any(kind == "novel" for kind, _, _ in secrets.scan(text, novelty)[1])
+    assert found >= 392 and alarms <= 8, (found, alarms)
+
+
+def test_training_is_ftrl_proximal():
+    """Weights against the algorithm written out, one coordinate at a time."""
+    rng = random.Random(3)
+    vocabulary = [f"t{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(vocabulary[: 25 + 15 * (k % 2)]) for _ in range(rng.randint(1, 20))) for k in range(60)] + [""]
+    labels = [k % 2 for k in range(60)] + [1]
+    got, bias = quality_ftrl.train(texts, labels, bits=12, epochs=2)
+    alpha, beta, l1, l2 = quality_ftrl.ALPHA, quality_ftrl.BETA, quality_ftrl.L1, quality_ftrl.L2
+    z, n, bz, bn = collections.Counter(), collections.Counter(), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    grams, order = quality_ftrl.Grams(12), np.random.default_rng(0)
+    for _ in range(2):
+        for k in order.permutation(len(texts)):
+            x = collections.Counter()
+            for i, v in zip(*grams.of(texts[k]), strict=True):
+                x[int(i)] += float(v)
+            w = {i: weight(i) for i in x}
+            b = -bz / ((beta + math.sqrt(bn)) / alpha)
+            p = 1 / (1 + math.exp(-(sum(w[i] * v for i, v in x.items()) + b)))
+            for i, v in x.items():
+                g = (p - labels[k]) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+            g = p - labels[k]
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha * b
+            bn += g * g
+    assert np.abs(got - np.array([weight(i) for i in range(1 << 12)])).max() < 1e-4 and bias == pytest.approx(-bz / ((beta + math.sqrt(bn)) / alpha), abs=1e-5) and (got != 0).sum() > 50
+
+
+def test_detector_catches_what_a_search_over_all_terms_does():
+    rng = random.Random(8)
+    terms = {"".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))): rng.random() * 5 for _ in range(200)}
+    fuzzy = frozenset(t for t in terms if len(t) >= toxicity.FUZZY_FROM)
+    detector = toxicity.Detector(terms, {}, fuzzy)
+    for _ in range(400):
+        base = rng.choice(list(terms))
+        word = list(base)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(word) + 1)
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", "ed"])
+        word = "".join(word)
+        near = [terms[t] for t in fuzzy if edits(word, t) == 1] if len(word) >= toxicity.FUZZY_FROM else []
+        want = (terms[word], 0) if word in terms else (max(near), 1) if near else None
+        assert detector.look_up(word) == want, word
+
+
+def test_sample_is_bounded_by_rows(spark):
+    from lodeframe.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(k % 5, f"text {k}", "clash") for k in range(300)] + [(None, "none", "c"), (6, None, "c")], "doc_id bigint, text string, y string")
+    labels = spark.createDataFrame([(k, v, "x") for k in range(7) for v in (0, k % 2)] + [(2, None, "x"), (None, 1, "x")], "doc_id bigint, toxic int, text string")
+    texts, marks = training_sample(docs, labels, "toxic", 5, 0, rows=10)
+    assert len(texts) == len(marks) == 10 == len(set(texts)) and (texts, marks) == training_sample(docs.repartition(7), labels, "toxic", 5, 0, rows=10)
+    every, marks = training_sample(docs, labels, "toxic", 1_000_003, -1, rows=1000)
+    assert len(every) == 301 and all(m == (0 if t == "" else int(t[5:]) % 5 % 2) for t, m in zip(every, marks, strict=True))
+    few, _ = training_sample(docs, labels, "toxic", 1_000_003, -1, rows=1000, chars=100)
+    assert 0 < sum(map(len, few)) <= 100 and training_sample(docs, labels.filter("false"), "toxic", 5, 0) == ([], [])
+
+
 def test_fingerprints(docs, empty, spark):
     got = {r["doc_id"]: r for r in rows(fingerprints.compare_neighbours(docs.filter("doc_id is not null")).filter("doc_id <> 7"))}
     items = sorted({(r.doc_id, r.text or "") for r in docs.filter("doc_id is not null").collect()}, reverse=True)
