@@ -22,6 +22,11 @@ def _folder(spark, name: str) -> str:
     return fresh_path(spark, name)
 
 
+def _local(spark, name: str) -> str:
+    """The same as a plain path, for links and folders of this machine."""
+    return paths.located(_folder(spark, name))[1]
+
+
 def _nations(spark, sf) -> list:
     return t(spark, sf, "nation").orderBy("n_nationkey").collect()
 
@@ -414,7 +419,7 @@ def strategy_rule(spark, sf):
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 1 THEN 'refused' ELSE 'empty' END AS result FROM nation")
 def overwrite_guard(spark, sf):
-    root, out = _folder(spark, "guard").removeprefix("file://"), []
+    root, out = _local(spark, "guard"), []
     for n in _nations(spark, sf):
         k, folder = n.n_nationkey, f"{root}/{n.n_nationkey}"
         if k % 2:
@@ -430,7 +435,7 @@ def overwrite_guard(spark, sf):
 
 @query("SELECT n_nationkey, ['copy', 'symlink', 'hardlink'][n_nationkey % 3 + 1] AS mode, n_name AS content FROM nation")
 def linked_images(spark, sf):
-    root, out = _folder(spark, "links").removeprefix("file://"), []
+    root, out = _local(spark, "links"), []
     for n in _nations(spark, sf):
         paths.write_bytes(f"{root}/from/{n.n_nationkey}.jpg", n.n_name.encode())
         mode = experiments.link_images({"x.jpg": f"{root}/from/{n.n_nationkey}.jpg"}, f"{root}/to/{n.n_nationkey}", ("copy", "symlink", "hardlink")[n.n_nationkey % 3])
@@ -573,7 +578,7 @@ SIDES = """SELECT 'train_scene' AS side, s_suppkey, s_nationkey, k FROM (SELECT
 @query(f"SELECT side, count(*) AS images, count(DISTINCT CASE WHEN s_suppkey % 4 > 0 THEN s_nationkey END) AS points, count(DISTINCT s_nationkey) AS cameras, 'hardlink' AS mode FROM ({SIDES}) GROUP BY 1")
 def prepared_scene(spark, sf):
     """Every eighth supplier is a test view of the text model, the others are training views."""
-    root = _folder(spark, "prepared").removeprefix("file://")
+    root = _local(spark, "prepared")
     views = [f"{r.s_name} view.jpg" for r in t(spark, sf, "supplier").orderBy("s_suppkey").collect()]
     for name in views:
         paths.write_bytes(f"{root}/from/{name}", b"x")
