@@ -147,6 +147,18 @@ INVERSE = f"""aggregate(sequence(0, {len(STATS) - 1}), cast(array() AS array<dou
  ELSE -aggregate(sequence(j, greatest(j, i - 1)), 0D, (x, k) -> x + l[shiftright(i * (i + 1), 1) + k] * w[shiftright(k * (k + 1), 1) + j]) END) / l[shiftright(i * (i + 1), 1) + i])))"""
 
 
+def _row_distance() -> str:
+    """The squared distance of a row from m under c with what its own counts add to sampling. One expression with inner names: a filter on it, which takes columns for what they stand for, computes each part once."""
+    more = {i * (i + 3) // 2: f"greatest({SAMPLING[x][0]}D / greatest({COUNTS[SAMPLING[x][1]]}, 1) - u[{i}], 0D)" for i, x in enumerate(STATS)}
+    own = "array(" + ", ".join(f"c[{k}] + {more[k]}" if k in more else f"c[{k}]" for k in range(len(_pairs()))) + ")"
+    z = ["(" + " + ".join(f"w[{i * (i + 1) // 2 + j}] * ({STATS[j]} - m[{j}])" for j in range(i + 1)) + ")" for i in range(len(STATS))]
+    length = f"aggregate(array({', '.join(z)}), 0D, (s, v) -> s + v * v)"
+    return f"transform(array({own}), c -> transform(array({FACTOR}), l -> transform(array({INVERSE}), w -> {length})[0])[0])[0]"
+
+
+ROW_DISTANCE = _row_distance()
+
+
 def _whitened(df: DataFrame) -> DataFrame:
     """df with l, the Cholesky factor of c, and w, its inverse."""
     return df.withColumn("l", F.expr(FACTOR)).withColumn("w", F.expr(INVERSE))
@@ -280,11 +292,8 @@ def _judged(stats: DataFrame, tail: float) -> DataFrame:
     known = materialise(cells.select(*group, "judge").join(best.withColumnRenamed("cell", "judge"), "judge").drop("judge"), "mcd-known")
     scratch.clear()
     joined = _on(stats, known, group, few, "left")
-    more = {i: F.greatest(F.lit(SAMPLING[x][0]) / F.greatest(F.col(COUNTS[SAMPLING[x][1]]), F.lit(1)) - F.col("u")[i], F.lit(0.0)) for i, x in enumerate(STATS)}
-    joined = joined.withColumn("c", _array([F.col("c")[k] + more[i] if i == j else F.col("c")[k] for k, (i, j) in enumerate(_pairs())]))
-    limit = chi_square_quantile(len(STATS), tail)
-    out = _whitened(joined).withColumn("d2", _distance(F.col("w"), F.col("m"))).select(*stats.columns, "d2")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit))
+    out = joined.withColumn("d2", F.expr(ROW_DISTANCE)).select(*stats.columns, "d2")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi_square_quantile(len(STATS), tail)))
 
 
 def base_failed() -> Column:
