@@ -117,14 +117,26 @@ def experiment_name_valid(name: Column) -> Column:
     return F.coalesce(name.rlike("^(full|(fixed|automatic)_0*[1-9][0-9]*)$"), F.lit(False))
 
 
-def human_bytes(n: Column) -> Column:
-    """Bytes with one decimal, in the largest of B, KB, MB, GB, TB below 1024."""
-    value, out = n.cast("double"), None
+def _one_decimal(x: Column) -> Column:
+    """Text of a double with one decimal, rounded as the double stands (not as its shortest text does), ties to even. From 2^53 on a double has no decimals."""
+    size = F.abs(x)
+    # counted in parts of 2^-58, which are exact but for less than 1/64, where the decimal is 0 anyway
+    scaled = ((size - F.floor(size)) * float(1 << 58)).cast("long") * 10
+    tenths, rest = F.shiftright(scaled, 58), F.pmod(scaled, F.lit(1 << 58))
+    tenths += ((rest > 1 << 57) | ((rest == 1 << 57) & (tenths % 2 == 1))).cast("int")
+    whole = F.floor(size) + F.floor(tenths / 10)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(size < float(1 << 53), text).otherwise(F.format_string("%.1f", x))
+
+
+def human_bytes(n: Column, largest: str = "TB") -> Column:
+    """Bytes with one decimal, in the first of B, KB, MB, GB, TB below 1024, or in the largest asked for; null for null."""
     units = ("B", "KB", "MB", "GB", "TB")
-    for k, unit in enumerate(units):
+    value, out, last = n.cast("double"), F.when(n.isNull(), None), units.index(largest)
+    for k, unit in enumerate(units[: last + 1]):
         part = value / 1024.0**k
-        text = F.concat(F.format_string("%.1f", F.bround(part, 1)), F.lit(f" {unit}"))
-        out = F.when(part < 1024, text) if out is None else out.when(part < 1024, text) if k < 4 else out.otherwise(text)
+        text = F.concat(_one_decimal(part), F.lit(f" {unit}"))
+        out = out.when(part < 1024, text) if k < last else out.otherwise(text)
     return out
 
 

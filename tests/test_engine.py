@@ -453,6 +453,36 @@ def test_long_groups_fold_in_blocks(spark, monkeypatch):
         assert sorted(r.k for r in got.filter("g = 'g'").collect()) == kept and [r.k for r in got.filter("g = 'h'").collect()] == [0]
 
 
+def test_bytes_are_rounded_as_doubles_stand(spark):
+    def said(n, largest):
+        size, units = float(n), ("B", "KB", "MB", "GB", "TB")
+        for unit in units[: units.index(largest) + 1]:
+            if size < 1024 or unit == largest:
+                return f"{size:.1f} {unit}"
+            size /= 1024
+
+    # ties, doubles next to one (2^60 and more), negative ones, ends of units
+    numbers = [0, 256, 768, 1023, 1024, 1280, 1792, -5, -1536, 1048524, 1048525, 1048575, (1 << 40) - 1, 1 << 40, (1 << 50) + 1, (1 << 63) - 1, 1152921559582428416, 1152922439191730688]
+    rows = spark.createDataFrame([(x,) for x in numbers], "n long").select("n", S.human_bytes(F.col("n")).alias("tb"), S.human_bytes(F.col("n"), largest="GB").alias("gb")).collect()
+    assert [(r.n, r.tb, r.gb) for r in rows] == [(n, said(n, "TB"), said(n, "GB")) for n in numbers]
+    assert spark.range(1).select(S.human_bytes(F.lit(None).cast("long")).alias("s")).first().s is None
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the standard tables")
+def test_bytes_beyond_a_terabyte_match_their_sql(spark, tmp_path):
+    """The query's SQL has no unit above GB; keys as those of six times sf0.1 reach it."""
+    import duckdb
+
+    from lodeframe.queries import QUERIES, SQL
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_orderkey", F.col("l_orderkey") + 898500).write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    wanted = sorted(duck.sql(SQL["human_bytes"]).fetchall())
+    assert any(float(x[2].split()[0]) >= 1024 for x in wanted)
+    assert sorted(tuple(r) for r in QUERIES["human_bytes"](spark, str(tmp_path)).collect()) == wanted
+
+
 def test_runtime(spark, tmp_path):
     runtime.seed_everything(11)
     first = np.random.random()
