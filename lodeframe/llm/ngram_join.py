@@ -31,6 +31,9 @@ FILTER_BITS = 1 << 27
 SLICE, SEEN = 256, 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 HOT = np.uint64(1)
+#: Sides of a pair that a set is on, and the columns of its fragments.
+A, B = 1, 2
+CUT = "key long, side int, fragment int, grams array<long>"
 
 
 class Shingles:
@@ -180,22 +183,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, fragment, n-grams) of texts, the n-grams cut by ranges of their hash."""
+    """(key, side, fragment, n-grams) of (text, side), the n-grams cut by ranges of their hash."""
     ranges = np.array([((f + 1) << 64) // FRAGMENTS for f in range(FRAGMENTS - 1)], np.uint64)
-    for _, sets in _slices(batches):
-        keys, fragments, grams = [], [], []
-        names = sets.keys().tolist()
+    for part, sets in _slices(batches):
+        keys, sides, fragments, grams = [], [], [], []
+        names, side = sets.keys().tolist(), part["side"].to_pylist()
         for k in np.flatnonzero(sets.sizes).tolist():
             own = sets.of(k)
             keys += [names[k]] * FRAGMENTS
+            sides += [side[k]] * FRAGMENTS
             fragments += range(FRAGMENTS)
             grams += [x.view(np.int64) for x in np.split(own, np.searchsorted(own, ranges))]
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fragments, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["key", "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sides, pa.int32()), pa.array(fragments, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["key", "side", "fragment", "grams"])
 
 
 def _picked(wanted):
-    """_cut() of the documents in the filter; those without an id are all in it."""
+    """_cut() of the documents in one of two filters, one for each side of a pair; those without an id are all in both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -205,7 +209,9 @@ def _picked(wanted):
                 slot = batch["slot"].to_numpy(zero_copy_only=False)
                 there = np.isnan(slot) if slot.dtype.kind == "f" else np.zeros(len(slot), bool)
                 at = np.where(there, 0, slot).astype(np.int64)
-                yield batch.select(["text"]).take(pa.array(np.flatnonzero(there | ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))))
+                first, second = ((x[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1 for x in bits)
+                side = (A * (there | first) + B * (there | second)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch["text"], pa.array(side)], names=["text", "side"]).take(pa.array(np.flatnonzero(side)))
 
         yield from _cut(chosen())
 
@@ -269,7 +275,7 @@ def _linked(pairs: DataFrame, first: DataFrame, fragments_of, scratch: Scratch)
 
     The order's first fragment of a pair is the two prefixes (first: key, 16-bit marks of the n-grams, how many were merged by that): where these share c n-grams, the sets share at most c plus what
     the prefixes leave. Pairs that can still link have their overlaps counted in each further fragment and summed;
-    fragments_of(keys) gives the fragments of the sets in such pairs, and of no others.
+    fragments_of(keys) gives the fragments of the sets in such pairs, and of no others (a filter's errors aside), with the sides that each set is on: only there is it joined.
     """
     need = _needed(F.col("na"), F.col("nb"))
     a = first.select(F.col("key").alias("a"), F.col("marks").alias("ga"), F.col("merged").alias("ea"))
@@ -278,9 +284,10 @@ def _linked(pairs: DataFrame, first: DataFrame, fragments_of, scratch: Scratch)
     shared = F.size(F.array_intersect("ga", "gb")) + F.least("ea", "eb")
     hopeful = pairs.join(a, "a").join(b, "b").filter(shared >= _wanting(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
     hopeful = scratch.keep(hopeful, "join-hopeful")
-    fragments = fragments_of(hopeful.select(F.col("a").alias("key")).union(hopeful.select("b")).distinct())
-    fa = fragments.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
-    fb = fragments.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
+    sides = hopeful.select(F.col("a").alias("key"), F.lit(A).alias("side")).union(hopeful.select("b", F.lit(B)))
+    fragments = fragments_of(sides.groupBy("key").agg(F.bit_or("side").alias("side")))
+    fa = fragments.filter(F.col("side").bitwiseAND(F.lit(A)) > 0).select(F.col("key").alias("a"), "fragment", F.col("grams").alias("ga"))
+    fb = fragments.filter(F.col("side").bitwiseAND(F.lit(B)) > 0).select(F.col("key").alias("b"), "fragment", F.col("grams").alias("gb"))
     counts = hopeful.join(fa, "a").join(fb, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ga", "gb")).alias("n"))
     counts = counts.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("n").alias("n")).groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n"))
     return counts.filter(F.col("n") >= need).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -317,22 +324,26 @@ def _classified(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     first = involved.select("key", "marks", "merged")
 
     def fragments_of(keys: DataFrame, own: Scratch) -> DataFrame:
-        """One pass over the documents, in which a bit filter of a fixed size picks those whose n-grams are needed whole; too many for it are joined by their ids."""
-        ids = own.keep(involved.select("key", "id").join(keys, "key", "left_semi").select("id"), "join-wanted")
+        """One pass over the documents, in which a bit filter of a fixed size for each side of a pair picks those whose n-grams are needed whole; too many for it are joined by their ids."""
+        ids = involved.select("key", "id").join(keys, "key").groupBy("id").agg(F.bit_or("side").alias("side"))
+        ids = own.keep(ids, "join-wanted")
+        on_a, on_b = (F.col("side").bitwiseAND(F.lit(x)) > 0 for x in (A, B))
         counted = ids.agg(F.count("*").alias("all"), F.count("id").alias("named")).first()
         wanted_rows = rows if counted["named"] < counted["all"] else rows.filter("doc_id is not null")
         if 16 * counted["all"] > FILTER_BITS:
             same = wanted_rows["doc_id"].eqNullSafe(ids["id"])
-            return own.keep(wanted_rows.join(ids, same, "left_semi").select("text").mapInArrow(_cut, "key long, fragment int, grams array<long>"), "join-fragments")
+            return own.keep(wanted_rows.join(ids, same).select("text", "side").mapInArrow(_cut, CUT), "join-fragments")
         bits = 1 << max(10, (16 * counted["all"]).bit_length())
         slot = F.pmod(F.xxhash64("id"), F.lit(bits))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-        words = ids.filter("id is not null").select((slot / 64).cast("long").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        bitmap = np.zeros(bits // 64, np.uint64)
-        bitmap[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.int64).view(np.uint64)
+        words = ids.filter("id is not null").select((slot / 64).cast("long").alias("w"), F.when(on_a, bit).otherwise(F.lit(0)).alias("a"), F.when(on_b, bit).otherwise(F.lit(0)).alias("b"))
+        words = words.groupBy("w").agg(F.bit_or("a").alias("a"), F.bit_or("b").alias("b")).toArrow()
+        bitmap = np.zeros((2, bits // 64), np.uint64)
+        for own_bits, side in zip(bitmap, ("a", "b"), strict=True):
+            own_bits[words["w"].to_numpy()] = words[side].to_numpy().astype(np.int64).view(np.uint64)
         wanted = spark.sparkContext.broadcast(bitmap)
         picked = wanted_rows.select("text", F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits))).alias("slot"))
-        out = own.keep(picked.mapInArrow(_picked(wanted), "key long, fragment int, grams array<long>"), "join-fragments")
+        out = own.keep(picked.mapInArrow(_picked(wanted), CUT), "join-fragments")
         wanted.destroy()
         return out
 

@@ -94,6 +94,29 @@ def test_components_by_rounds(docs, monkeypatch):
     assert sorted(got) == sorted(brute_components(items))
 
 
+@pytest.mark.parametrize("bits", [ngram_join.FILTER_BITS, 0])
+def test_sets_are_cut_for_their_side_of_a_pair(docs, monkeypatch, bits):
+    """Of each pair one set's fragments go to one side of the join and the other's to the other; these were all on both."""
+    kept, keep = [], ngram_join.Scratch.keep
+
+    def noted(self, df, name):
+        out = keep(self, df, name)
+        if name in ("join-hopeful", "join-fragments"):
+            kept.append((name, out.drop("grams").collect()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", bits)
+    monkeypatch.setattr(ngram_join.Scratch, "keep", noted)
+    # ids that rows share or lack pick more documents than the pairs have
+    ngram_join.jaccard_components(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).count()
+    pairs, cut = ([r for name, found in kept for r in found if name == wanted] for wanted in ("join-hopeful", "join-fragments"))
+    sides = {}
+    for r in cut:
+        sides[r["key"]] = sides.get(r["key"], 0) | r["side"]
+    assert pairs and all(sides[r["a"]] & ngram_join.A and sides[r["b"]] & ngram_join.B for r in pairs)
+    assert sum(bin(r["side"]).count("1") for r in cut) < 1.8 * len(cut)
+
+
 def test_components_by_joined_documents(docs, monkeypatch):
     items = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     monkeypatch.setattr(ngram_join, "FILTER_BITS", 0)
