@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,12 +206,39 @@ def text_model_points(spark, sf):
     return _read_text_model(spark, sf).points.select("point3d_id", F.col("xyz")[0].alias("x"), F.size("track").cast("long").alias("track_length"))
 
 
-def _binary_model(spark, sf, split: int = sfm.SPLIT) -> submodel.Model:
+#: Parts that sorted_write reads a file in, about: beyond it they are larger, not more.
+PARTS = 256
+
+
+def _binary_model(spark, sf, split: int = sfm.SPLIT, parts: int | None = None) -> submodel.Model:
+    """_model() written and read again in parts of about `split` bytes, or larger ones where a file would have more than so many parts."""
     m = _model(spark, sf)
     path = _folder(spark, "sfm")
     sfm.write_model(submodel.Model(m.cameras.withColumns({"model": F.lit("PINHOLE"), "params": F.array(*[F.lit(1.0)] * 4)}), m.images, m.points), path)
     spark.dataSource.register(sfm.SfmSource)
-    return submodel.Model(*[spark.read.format("sfm").option("table", x).option("splitBytes", split).load(path) for x in sfm.TABLES])
+    sizes = {x: max(split, -(-paths.size_of(paths.joined(path, f"{stem}.bin")) // parts) if parts else 0) for x, (stem, _) in sfm.TABLES.items()}
+    return submodel.Model(*[spark.read.format("sfm").option("table", x).option("splitBytes", size).load(path) for x, size in sizes.items()])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, first, last, rows, sorted) of a partition's keys; none for an empty one."""
+    first = last = None
+    rows, ordered = 0, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch["key"].to_numpy()
+        ordered = ordered and bool((key[1:] >= key[:-1]).all()) and (last is None or int(key[0]) >= last)
+        first, last, rows = int(key[0]) if first is None else first, int(key[-1]), rows + len(key)
+    if rows:
+        yield pa.RecordBatch.from_pydict({"place": [TaskContext.get().partitionId()], "first": [first], "last": [last], "rows": [rows], "sorted": [ordered]})
+
+
+def _in_order(keys: DataFrame) -> DataFrame:
+    """(rows, sorted) of a table of keys: whether they never fall, within partitions and from each to the next. A row a partition is gathered, no keys."""
+    found = keys.mapInArrow(_runs, "place long, first long, last long, rows long, sorted boolean")
+    ends = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "first", "last"))), lambda x: F.array(x["first"], x["last"])))
+    return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"), (F.coalesce(F.bool_and("sorted"), F.lit(True)) & (ends == F.array_sort(ends))).alias("sorted"))
 
 
 @query("SELECT o_orderkey::INT AS image_id, 'image_' || o_orderkey || '.jpg' AS name, o_custkey::INT AS camera_id, o_totalprice AS z, count(l_orderkey) AS num_points2d, count(*) FILTER (l_partkey % 10 <> 0) AS linked FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
@@ -231,10 +261,9 @@ def sfm_binary_points(spark, sf):
 @query("""SELECT 'camera' AS part, count(*) AS rows, true AS sorted FROM customer UNION ALL SELECT 'image', count(*), true FROM orders UNION ALL SELECT 'point3d', count(DISTINCT l_partkey), true FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 10 <> 0""")
 def sorted_write(spark, sf):
     """Rows in the order of the files, which small splits read as many parts, have growing ids."""
-    m, out = _binary_model(spark, sf, split=1 << 14), None
+    m, out = _binary_model(spark, sf, split=1 << 14, parts=PARTS), None
     for part, df, key in (("camera", m.cameras, "camera_id"), ("image", m.images, "image_id"), ("point3d", m.points, "point3d_id")):
-        places = df.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("place"))
-        one = places.agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("x")).select(F.lit(part).alias("part"), F.size("x").cast("long").alias("rows"), (F.transform("x", lambda e: e["key"]) == F.array_sort(F.transform("x", lambda e: e["key"]))).alias("sorted"))
+        one = _in_order(df.select(F.col(key).cast("long").alias("key"))).select(F.lit(part).alias("part"), "rows", "sorted")
         out = one if out is None else out.union(one)
     return out
 

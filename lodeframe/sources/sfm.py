@@ -19,6 +19,7 @@ TABLES = {"camera": ("cameras", CAMERA), "image": ("images", IMAGE), "point3d":
 NUMBERS = {name: (k, n) for k, (name, n) in enumerate(CAMERA_MODELS)}
 #: Bytes of a binary file that one task reads, and the buffer with which record heads are scanned.
 SPLIT, WINDOW = 32 << 20, 1 << 20
+COUNT = packing.Struct("<Q")
 
 
 class ModelError(ValueError):
@@ -125,6 +126,13 @@ class Heads:
 
     def after(self, table: str, place: int) -> int:
         """The end of the record that begins at place."""
+        at = place - self.begin
+        if at >= 0 and table == "image":  # most heads lie in the window
+            end = self.held.find(b"\0", at + 64, at + 320)
+            if 0 <= end <= len(self.held) - 9:
+                return self.begin + end + 9 + 24 * COUNT.unpack_from(self.held, end + 1)[0]
+        elif at >= 0 and table == "point3d" and at + 51 <= len(self.held):
+            return place + 51 + 8 * COUNT.unpack_from(self.held, at + 43)[0]
         if table == "camera":
             model = self.number(place + 4, "i")
             if not 0 <= model < len(CAMERA_MODELS):
